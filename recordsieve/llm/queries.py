@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, mixing, url_filter
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op9_url_filter": url_filter.op9_url_filter,
 }
 
 SQL = {
+    "op2_mixing": mixing.OP2_SQL,
     "op5_decontamination": decontaminate.OP5_SQL,
+    "op9_url_filter": url_filter.OP9_SQL,
 }
