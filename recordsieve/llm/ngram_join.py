@@ -143,22 +143,20 @@ def _fold(full: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, leads: DataFrame, k: int, salt: int) -> DataFrame:
-    """(node, n, sig, elements) of the leads' documents, one row a node."""
-    chosen = docs.join(small(leads.select(F.col("doc_id").alias("__lead"), "node")), F.col("doc_id").eqNullSafe(F.col("__lead"))).select("text", "node")
+    """(node, n, sig, elements) of the leads' nodes, one row a node, read from rows with the leads' ids."""
+    ids = leads.select(F.col("doc_id").alias("__lead")).distinct()
+    chosen = docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("__lead")), "left_semi").select("text")
 
     def run(batches):
         for b in batches:
-            want = b.column(1).to_pylist()
-            ns, sigs, sets, keep = [], [], [], []
-            for s, node in zip(shingle_sets(b.column(0), k), want, strict=True):
-                if len(s) and _digest(s, salt)[0] == node:  # an id may be on rows of several texts
-                    keep.append(node)
-                    ns.append(len(s))
-                    sigs.append(_signature(s))
-                    sets.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), _lists(sets)], names=["node", "n", "sig", "elements"])
+            sets = [s for s in shingle_sets(b.column(0), k) if len(s)]
+            nodes = [_digest(s, salt)[0] for s in sets]
+            sigs = [_signature(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), _lists(sets)], names=["node", "n", "sig", "elements"])
 
-    return chosen.mapInArrow(run, "node long, n long, sig binary, elements array<long>")
+    found = chosen.mapInArrow(run, "node long, n long, sig binary, elements array<long>")
+    # an id, or its absence, may be on rows of several texts; other nodes than the leads' go
+    return found.join(small(leads.select("node")), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _admitted(n1, n2, differing, percent):
@@ -269,7 +267,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     met = written(members.join(hubs, "token").groupBy("token", "node").agg(F.first("hub").alias("hub")), "met")
     stars = written(met.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     some = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    sets = written(_sets(docs, nodes.select("node", "doc_id").join(some, "node"), k, salt).dropDuplicates(["node"]), "elements")
+    sets = written(_sets(docs, nodes.select("node", "doc_id").join(some, "node"), k, salt), "elements")
     links = written(_verified(stars, sets, percent), "links")
     labels = written(components(links, "a", "b"), "labels")
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, url_filter
+from . import decontaminate, mixing, ngram_join, sharding, url_filter
 
 QUERIES = {
+    "op1_sharding": sharding.op1_sharding,
     "op2_mixing": mixing.op2_mixing,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_url_filter": url_filter.op9_url_filter,
 }
 
 SQL = {
+    "op1_sharding": sharding.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op5_decontamination": decontaminate.OP5_SQL,
+    "op8_ngram_join": ngram_join.OP8_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
 }
