@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram_join, sharding, url_filter
+from . import decontaminate, mixing, ngram_join, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_mixing": mixing.op2_mixing,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_url_filter": url_filter.op9_url_filter,
