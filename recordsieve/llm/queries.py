@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram_join, sharding, toxicity, url_filter
+from . import decontaminate, mixing, ngram_join, quality, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_mixing": mixing.op2_mixing,
+    "op3_quality": quality.op3_quality,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op8_ngram_join": ngram_join.op8_ngram_join,
@@ -16,6 +17,7 @@ QUERIES = {
 SQL = {
     "op1_sharding": sharding.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
+    "op3_quality": quality.OP3_SQL,
     "op5_decontamination": decontaminate.OP5_SQL,
     "op8_ngram_join": ngram_join.OP8_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
