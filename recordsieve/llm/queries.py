@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram_join, quality, repeats, sharding, toxicity, url_filter
+from . import decontaminate, html_extract, mixing, ngram_join, quality, repeats, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_html": html_extract.op6_html,
     "op7_repeats": repeats.op7_repeats,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_url_filter": url_filter.op9_url_filter,
