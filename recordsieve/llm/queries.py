@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, mixing, ngram_join, quality, repeats, sharding, toxicity, url_filter
+from . import decontaminate, html_extract, lm_score, mixing, ngram_join, quality, repeats, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_repeats": repeats.op7_repeats,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_lm_score": lm_score.op10_lm_score,
 }
 
 SQL = {
