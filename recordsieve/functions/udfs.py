@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -33,33 +35,32 @@ def transformed(col, where: str = "", fields: list[str] = (), mutations=(), **ho
     return run(col)
 
 
-def register(spark: SparkSession) -> None:
-    """SQL functions record_matches(value, selector), record_project(value, paths), record_mutate(value, mutations)."""
-    from functools import lru_cache
+@lru_cache(64)
+def _runner(kind: str, text: str):
+    """A worker parses each distinct text once."""
+    if kind == "matches":
+        return program(text).runner()
+    return program("", fields=text.split("\n")).runner() if kind == "project" else program("", mutations=text).runner()
 
-    def each(make):
-        runner = lru_cache(64)(lambda text: make(text).runner())
 
-        def run(values: pd.Series, texts: pd.Series) -> list:
-            return [None if v is None or t is None else runner(t)(v) for v, t in zip(values, texts, strict=True)]
+def _each(kind: str, part: int, values: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None or t is None else _runner(kind, t)(v)[part] for v, t in zip(values, texts, strict=True)], dtype=object)
 
-        return run
 
-    select = each(lambda t: program(t))
-    project = each(lambda t: program("", fields=t.split("\n")))
-    mutate = each(lambda t: program("", mutations=t))
+def register(spark: SparkSession) -> None:
+    """SQL functions record_matches(value, selector), record_project(value, paths), record_mutate(value, mutations)."""
 
     @F.pandas_udf("boolean")
     def record_matches(values: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else x[0] for x in select(values, texts)], dtype=object)
+        return _each("matches", 0, values, texts)
 
     @F.pandas_udf("string")
     def record_project(values: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else x[1] for x in project(values, texts)], dtype=object)
+        return _each("project", 1, values, texts)
 
     @F.pandas_udf("string")
     def record_mutate(values: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else x[1] for x in mutate(values, texts)], dtype=object)
+        return _each("mutate", 1, values, texts)
 
     for name, f in (("record_matches", record_matches), ("record_project", record_project), ("record_mutate", record_mutate)):
         spark.udf.register(name, f)
