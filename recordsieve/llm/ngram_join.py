@@ -79,22 +79,24 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, salt: int, heavy) -> DataFrame:
-    """(doc_id, n, node, check, tokens) of every row; node is null for empty sets."""
+    """(doc_id, n, node, check, sig, tokens) of every row; node is null for empty sets."""
 
     def run(batches):
         late = heavy.value if heavy is not None else None
         for b in batches:
-            ns, nodes, checks, tokens = [], [], [], []
+            ns, nodes, checks, sigs, tokens = [], [], [], [], []
             for s in shingle_sets(b.column(1), k):
                 ns.append(len(s))
                 if not len(s):
                     nodes.append(None)
                     checks.append(None)
+                    sigs.append(None)
                     tokens.append(s)
                     continue
                 x, y = _digest(s, salt)
                 nodes.append(x)
                 checks.append(y)
+                sigs.append(_signature(s))
                 p = prefix_length(len(s), percent)
                 first = s[:p]
                 if late is not None and _isin(first, late).any():
@@ -102,11 +104,11 @@ def _prefixes(docs: DataFrame, k: int, percent: int, salt: int, heavy) -> DataFr
                     first = np.concatenate([s[~m], s[m]])[:p]
                 tokens.append(first)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), _lists(tokens)],
-                names=["doc_id", "n", "node", "check", "tokens"],
+                [b.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sigs, pa.binary()), _lists(tokens)],
+                names=["doc_id", "n", "node", "check", "sig", "tokens"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, n long, node long, check long, tokens array<long>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, n long, node long, check long, sig binary, tokens array<long>")
 
 
 def _isin(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -122,28 +124,34 @@ def _heavy(members: DataFrame):
     return np.sort(np.array([r[0] for r in found.collect()], np.int64).view(np.uint64))
 
 
-def _bits(low_size: float) -> int:
-    return int(min(MAX_BITS, max(64, 1 << math.ceil(math.log2(max(low_size, 1))))))
+def _bits(size: float) -> int:
+    """Bits of the signature of a set: a power of two, about its size."""
+    return int(min(MAX_BITS, max(64, 1 << math.ceil(math.log2(max(size, 1))))))
 
 
 def _signature(s: np.ndarray) -> bytes:
-    out = np.zeros(MAX_BITS // 8, np.uint8)
-    bit = (s >> K.U64(52)).astype(np.int64)  # the top 12 bits: MAX_BITS is 4096
-    np.bitwise_or.at(out, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
-    return out.tobytes()
-
-
-def _fold(full: np.ndarray, bits: int) -> np.ndarray:
-    """Signatures of MAX_BITS, one a row of bytes, or-ed down to ``bits``."""
-    x = full.view(np.uint64)
-    while x.shape[1] * 64 > bits:
-        half = x.shape[1] // 2
-        x = x[:, :half] | x[:, half:]
-    return np.ascontiguousarray(x)
+    bits = _bits(len(s))
+    out = np.zeros(bits, bool)
+    out[(s >> K.U64(52)).astype(np.int64) & (bits - 1)] = True  # MAX_BITS is 2 ** 12
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def _fold(rows: list[bytes], bits: int) -> np.ndarray:
+    """Signatures of at least ``bits``, each or-ed down to ``bits``, as rows of uint64."""
+    out = np.zeros((len(rows), bits // 64), np.uint64)
+    widths = np.array([len(r) for r in rows])
+    for width in np.unique(widths):
+        at = np.flatnonzero(widths == width)
+        x = np.frombuffer(b"".join([rows[i] for i in at]), np.uint64).reshape(len(at), -1)
+        while x.shape[1] * 64 > bits:
+            half = x.shape[1] // 2
+            x = x[:, :half] | x[:, half:]
+        out[at] = x
+    return out
 
 
 def _sets(docs: DataFrame, leads: DataFrame, k: int, salt: int) -> DataFrame:
-    """(node, n, sig, elements) of the leads' nodes, one row a node, read from rows with the leads' ids."""
+    """(node, elements) of the leads' nodes, read from rows with the leads' ids."""
     ids = leads.select(F.col("doc_id").alias("__lead")).distinct()
     chosen = docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("__lead")), "left_semi").select("text")
 
@@ -151,12 +159,14 @@ def _sets(docs: DataFrame, leads: DataFrame, k: int, salt: int) -> DataFrame:
         for b in batches:
             sets = [s for s in shingle_sets(b.column(0), k) if len(s)]
             nodes = [_digest(s, salt)[0] for s in sets]
-            sigs = [_signature(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), _lists(sets)], names=["node", "n", "sig", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(sets)], names=["node", "elements"])
 
-    found = chosen.mapInArrow(run, "node long, n long, sig binary, elements array<long>")
     # an id, or its absence, may be on rows of several texts; other nodes than the leads' go
-    return found.join(small(leads.select("node")), "node", "left_semi").dropDuplicates(["node"])
+    found = chosen.mapInArrow(run, "node long, elements array<long>").join(small(leads.select("node")), "node", "left_semi")
+    found = written(found, "elements")
+    if found.groupBy("node").count().where("count > 1").limit(1).count():  # rows of one id and text
+        found = written(found.dropDuplicates(["node"]), "elements")
+    return found
 
 
 def _admitted(n1, n2, differing, percent):
@@ -164,31 +174,51 @@ def _admitted(n1, n2, differing, percent):
     return differing * (100 + percent) <= (100 - percent) * (n1 + n2)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: bitmap bound first, then the exact intersection."""
-    x = sets.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("sig").alias("s1"), F.col("elements").alias("e1"))
-    y = sets.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("s2"), F.col("elements").alias("e2"))
-    sizes = (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-    both = pairs.join(y, "b").join(x, "a").where(sizes).select("a", "b", "s1", "s2", "e1", "e2")
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmap signatures admit."""
+    x = nodes.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("sig").alias("s1"))
+    y = nodes.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("s2"))
+    sizes = 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
+    both = pairs.join(y, "b").join(x, "a").where(sizes).select("a", "b", "n1", "n2", "s1", "s2")
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            keep = np.zeros(len(a), bool)
-            e1, e2 = batch.column(4), batch.column(5)
-            o1, o2 = e1.offsets.to_numpy(), e2.offsets.to_numpy()
-            v1, v2 = e1.values.to_numpy(zero_copy_only=False).view(np.uint64), e2.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            for i, (s, t) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                p, q = v1[o1[i] : o1[i + 1]], v2[o2[i] : o2[i + 1]]
-                apart = int(np.bitwise_count(np.frombuffer(s, np.uint64) ^ np.frombuffer(t, np.uint64)).sum())
-                if _admitted(len(p), len(q), apart, percent):
-                    common = int(_isin(p, q).sum())
-                    keep[i] = 100 * common >= percent * (len(p) + len(q) - common)
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep))
+            n1, n2 = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            s1, s2 = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            width = np.array([8 * min(len(p), len(q)) for p, q in zip(s1, s2, strict=True)], np.int64)
+            apart = np.zeros(len(n1), np.int64)
+            for bits in np.unique(width).tolist():
+                at = np.flatnonzero(width == bits)
+                apart[at] = np.bitwise_count(_fold([s1[i] for i in at], bits) ^ _fold([s2[i] for i in at], bits)).sum(1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(_admitted(n1, n2, apart, percent)))
 
     return both.mapInArrow(run, "a long, b long")
 
 
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, salt: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link by the exact intersection of their sorted elements."""
+    some = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets(docs, nodes.join(some, "node", "left_semi").select("node", "doc_id"), k, salt)
+    x = sets.select(F.col("node").alias("a"), F.col("elements").alias("e1"))
+    y = sets.select(F.col("node").alias("b"), F.col("elements").alias("e2"))
+
+    def run(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            sides = []
+            for c in (2, 3):
+                e = batch.column(c)
+                sides.append((e.offsets.to_numpy(), e.values.to_numpy(zero_copy_only=False).view(np.uint64)))
+            (o1, v1), (o2, v2) = sides
+            for i in range(len(keep)):
+                p, q = v1[o1[i] : o1[i + 1]], v2[o2[i] : o2[i + 1]]
+                common = int(_isin(p, q).sum())
+                keep[i] = 100 * common >= percent * (len(p) + len(q) - common)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "e1", "e2").mapInArrow(run, "a long, b long")
+
+
 def _tile_pairs(rows: DataFrame, percent: int, ratio: float) -> DataFrame:
     """Pairs of different labels that meet in a tile and that their signatures admit."""
     names = ["token", "tile", "i", "j"]
@@ -214,11 +244,12 @@ def _tile_pairs(rows: DataFrame, percent: int, ratio: float) -> DataFrame:
             keys = np.stack([t.column(c).to_numpy() for c in names])
             group = np.concatenate(([0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(0))))
             tile, node, label, n, blk = (t.column(c).to_numpy() for c in ("tile", "node", "label", "n", "blk"))
-            full = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(t), -1)
-            width = np.array([_bits(ratio ** -float(x)) for x in np.unique(tile)])[np.unique(tile, return_inverse=True)[1]]
+            full = t.column("sig").to_pylist()
+            bands, of = np.unique(tile, return_inverse=True)
+            width = np.array([_bits(0.99 * ratio ** -float(x)) for x in bands])[of]  # not wider than the smallest set's
             for bits in np.unique(width):
                 at = np.flatnonzero(width == bits)
-                sig = _fold(np.ascontiguousarray(full[at]), int(bits))
+                sig = _fold([full[i] for i in at], int(bits))
                 g, v, lab, size, bl = group[at], node[at], label[at], n[at], blk[at]
                 two = keys[2][at] != keys[3][at]
                 d = 1
@@ -250,10 +281,11 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     own: list[str] = []
     for salt in range(8):
         rows = written(_prefixes(docs, k, percent, salt, None), "sets", own)
-        nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min("n").alias("n0"), F.max("check").alias("c"), F.min("check").alias("c0"))
+        nodes = rows.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min("n").alias("n0"), F.max("check").alias("c"), F.min("check").alias("c0"))
         nodes = written(nodes, "nodes")
         if not nodes.where("n <> n0 or c <> c0").limit(1).count():
             break
+        drop(spark, own)
     else:
         raise RuntimeError("set digests collide under every salt")
     members = rows.where("node is not null").select("node", F.explode("tokens").alias("token"))
@@ -265,10 +297,9 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     # elements met by two nodes or more, and who meets there
     hubs = members.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("token", "hub")
     met = written(members.join(hubs, "token").groupBy("token", "node").agg(F.first("hub").alias("hub")), "met")
-    stars = written(met.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    some = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    sets = written(_sets(docs, nodes.select("node", "doc_id").join(some, "node"), k, salt), "elements")
-    links = written(_verified(stars, sets, percent), "links")
+    stars = met.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    stars = written(_possible(stars, nodes, percent), "stars")
+    links = written(_verified(stars, docs, nodes, k, salt, percent), "links")
     labels = written(components(links, "a", "b"), "labels")
 
     # members of an element that are not joined yet meet in tiles
@@ -276,14 +307,14 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     open_ = now.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     ratio = percent / 100
     band = F.floor(F.log("n") / F.lit(-math.log(ratio))).cast("long")
-    left = now.join(open_, "token").join(sets.select("node", "n"), "node").select("token", "node", "label", "n", F.explode(F.array(band, band - 1)).alias("tile"))
+    left = now.join(open_, "token").join(nodes.select("node", "n"), "node").select("token", "node", "label", "n", F.explode(F.array(band, band - 1)).alias("tile"))
     left = written(left, "tiles")
     count = left.groupBy("token", "tile").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
     left = left.join(count.select("token", "tile", F.ceil(F.col("c") / BLOCK).cast("long").alias("blocks")), ["token", "tile"])
     left = left.withColumn("blk", F.pmod(F.xxhash64("node"), "blocks")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    left = left.withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")}).join(sets.select("node", "sig"), "node")
-    pairs = _tile_pairs(left, percent, ratio).distinct()
-    more = written(_verified(pairs, sets, percent), "links")
+    left = left.withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")}).join(nodes.select("node", "sig"), "node")
+    pairs = written(_tile_pairs(left, percent, ratio).distinct(), "pairs")
+    more = written(_verified(pairs, docs, nodes, k, salt, percent), "links")
     if more.limit(1).count():
         labels = written(components(links.unionByName(more), "a", "b"), "labels")
 
