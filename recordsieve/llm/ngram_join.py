@@ -8,8 +8,9 @@ partners, groups or lengths.
 1. Documents of equal sets are one node (128 bits of set digest; a collision of the 64 bits used as
    key is detected and ends in another salt).
 2. In any common order of elements, linked sets share one of each set's first n - ceil(t n) + 1. The
-   order is by hash, but elements found in many prefixes come last (a bounded broadcast list that
-   only affects speed), so a passage or line that very many documents share is no meeting point.
+   order is by length, then hash: long runs of words are rare, so few documents meet by chance. But
+   elements found in many prefixes come last (a bounded broadcast list that only affects speed), so a
+   passage or line that very many documents share is no meeting point.
 3. Nodes that meet at an element are first held against the element's smallest node (a star, linear
    in the members). Verified links are merged by connected components.
 4. Members of an element that are still in different components meet in tiles: a size band and the
@@ -44,17 +45,22 @@ MAX_BITS = 4096
 
 
 def shingle_sets(column: pa.Array, k: int):
-    """The sorted distinct element hashes of each document."""
+    """The sorted distinct elements of each document: 6 bits that fall with the words' bytes, 58 of hash.
+
+    Their order is the join's common order: long runs, which are rare, come first.
+    """
     for t in K.slices(column):
         w = K.words(t, K.WORD_LOWER)
         h = K.word_hash(w)
-        g = K.window_hash(h, k)
+        size = np.append(0, np.cumsum(w.end - w.start))
+        ordered = lambda g, n: (np.maximum(0, 63 - n).astype(np.uint64) << K.U64(58)) | (g >> K.U64(6))
+        g = ordered(K.window_hash(h, k), (size[k:] - size[:-k])) if len(h) >= k else h[:0]
         for d in range(len(t)):
             a, b = w.first[d], w.first[d + 1]
             if b - a >= k:
                 yield np.unique(g[a : b - k + 1])
             elif b > a:
-                yield K.window_hash(h[a:b], int(b - a))
+                yield ordered(K.window_hash(h[a:b], int(b - a)), size[b : b + 1] - size[a])
             else:
                 yield np.empty(0, np.uint64)
 
@@ -132,7 +138,7 @@ def _bits(size: float) -> int:
 def _signature(s: np.ndarray) -> bytes:
     bits = _bits(len(s))
     out = np.zeros(bits, bool)
-    out[(s >> K.U64(52)).astype(np.int64) & (bits - 1)] = True  # MAX_BITS is 2 ** 12
+    out[s.astype(np.int64) & (bits - 1)] = True
     return np.packbits(out, bitorder="little").tobytes()
 
 
