@@ -11,7 +11,7 @@ partners, groups or lengths.
    order is by length, then hash: long runs of words are rare, so few documents meet by chance. But
    elements found in many prefixes come last (a bounded broadcast list that only affects speed), so a
    passage or line that very many documents share is no meeting point.
-3. Nodes that meet at an element are first held against the element's smallest node (a star, linear
+3. Nodes that meet at an element are first held against the element's least and greatest node (stars, linear
    in the members). Verified links are merged by connected components.
 4. Members of an element that are still in different components meet in tiles: a size band and the
    next one, in blocks of at most ``BLOCK`` members. There, bitmap signatures as wide as the band's sets
@@ -202,27 +202,56 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, salt: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link by the exact intersection of their sorted elements."""
-    some = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets(docs, nodes.join(some, "node", "left_semi").select("node", "doc_id"), k, salt)
-    x = sets.select(F.col("node").alias("a"), F.col("elements").alias("e1"))
-    y = sets.select(F.col("node").alias("b"), F.col("elements").alias("e2"))
+    """Pairs (a, b) that link, enough to connect whatever the given pairs' links connect.
+
+    Pairs meet in tiles of two blocks of nodes, so a set is sent once to a tile, not once to a pair. A
+    block is part of the nodes that have the same least neighbour. In a tile, a pair that verified
+    pairs connect already needs no intersection.
+    """
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    home = ends.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("home"))
+    size = home.groupBy("home").agg(F.count(F.lit(1)).alias("c"))
+    home = home.join(size, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK).cast("long"))).alias("block"))
+    home = written(home, "homes")
+    sets = _sets(docs, nodes.join(home.select("node"), "node", "left_semi").select("node", "doc_id"), k, salt)
+    placed = pairs.join(home.select(F.col("node").alias("a"), F.col("block").alias("p")), "a").join(home.select(F.col("node").alias("b"), F.col("block").alias("q")), "b")
+    placed = placed.select(F.xxhash64(F.least("p", "q"), F.greatest("p", "q")).alias("tile"), "a", "b")
+    who = placed.select("tile", F.col("a").alias("node")).unionByName(placed.select("tile", F.col("b").alias("node"))).distinct()
+    rows = who.join(sets, "node").select("tile", F.lit(0).alias("kind"), F.col("node").alias("a"), F.col("node").alias("b"), "elements")
+    rows = rows.unionByName(placed.select("tile", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<long>").alias("elements")))
+    rows = rows.repartition("tile").sortWithinPartitions("tile", "kind")
 
     def run(batches):
+        last, sets_, up = None, {}, {}
+
+        def root(x):
+            while up.get(x, x) != x:
+                up[x] = x = up.get(up[x], up[x])
+            return x
+
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            sides = []
-            for c in (2, 3):
-                e = batch.column(c)
-                sides.append((e.offsets.to_numpy(), e.values.to_numpy(zero_copy_only=False).view(np.uint64)))
-            (o1, v1), (o2, v2) = sides
-            for i in range(len(keep)):
-                p, q = v1[o1[i] : o1[i + 1]], v2[o2[i] : o2[i + 1]]
+            tile, kind, first, second = (batch.column(c).to_numpy() for c in range(4))
+            e = batch.column(4)
+            off, values = e.offsets.to_numpy(), e.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            out = []
+            for i in range(len(tile)):
+                if tile[i] != last:
+                    last, sets_, up = tile[i], {}, {}
+                x, y = int(first[i]), int(second[i])
+                if kind[i] == 0:
+                    sets_[x] = values[off[i] : off[i + 1]].copy()
+                    continue
+                rx, ry = root(x), root(y)
+                if rx == ry:
+                    continue
+                p, q = sets_[x], sets_[y]
                 common = int(_isin(p, q).sum())
-                keep[i] = 100 * common >= percent * (len(p) + len(q) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+                if 100 * common >= percent * (len(p) + len(q) - common):
+                    up[rx] = ry
+                    out.append((x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
 
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "e1", "e2").mapInArrow(run, "a long, b long")
+    return rows.select("tile", "kind", "a", "b", "elements").mapInArrow(run, "a long, b long")
 
 
 def _tile_pairs(rows: DataFrame, percent: int, ratio: float) -> DataFrame:
@@ -245,8 +274,16 @@ def _tile_pairs(rows: DataFrame, percent: int, ratio: float) -> DataFrame:
         if held is not None and len(held):
             yield held
 
+    def once(found):
+        u = np.unique(np.ascontiguousarray(np.concatenate(found)).view("i8,i8").ravel())
+        return pa.RecordBatch.from_arrays([pa.array(u["f0"]), pa.array(u["f1"])], names=["a", "b"])
+
     def run(batches):
+        found, waiting = [], 0
         for t in groups(batches):
+            if waiting > 1 << 20:  # pairs meet at many elements
+                yield once(found)
+                found, waiting = [], 0
             keys = np.stack([t.column(c).to_numpy() for c in names])
             group = np.concatenate(([0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(0))))
             tile, node, label, n, blk = (t.column(c).to_numpy() for c in ("tile", "node", "label", "n", "blk"))
@@ -270,11 +307,13 @@ def _tile_pairs(rows: DataFrame, percent: int, ratio: float) -> DataFrame:
                         ok = _admitted(size[p], size[q], apart, percent)
                         x, y = v[p[ok]], v[q[ok]]
                         if len(x):
-                            u = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-                            yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1])], names=["a", "b"])
+                            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+                            waiting += len(x)
                     d += 1
                     left = left[left + d < len(g)]
                     left = left[g[left] == g[left + d]]
+        if found:
+            yield once(found)
 
     cols = [*names, "blk", "node", "label", "n", "sig"]
     return rows.select(*cols).repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long")
@@ -301,9 +340,10 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
         drop(spark, own)
         members = rows.where("node is not null").select("node", F.explode("tokens").alias("token"))
     # elements met by two nodes or more, and who meets there
-    hubs = members.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("token", "hub")
-    met = written(members.join(hubs, "token").groupBy("token", "node").agg(F.first("hub").alias("hub")), "met")
-    stars = met.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    hubs = members.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
+    met = written(members.join(hubs, "token").groupBy("token", "node").agg(F.min("hub").alias("hub"), F.min("last").alias("last")), "met")
+    stars = met.select(F.col("node").alias("b"), F.explode(F.array("hub", "last")).alias("a")).where("a <> b")
+    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     stars = written(_possible(stars, nodes, percent), "stars")
     links = written(_verified(stars, docs, nodes, k, salt, percent), "links")
     labels = written(components(links, "a", "b"), "labels")
