@@ -39,6 +39,9 @@ from .components import components
 SHINGLE, PERCENT = 5, 80
 #: Elements met by more rows than this in prefixes may be put last, at most so many of them.
 HEAVY_ROWS, HEAVY_LIST = 256, 200_000
+LOCAL = 4
+#: Repeated elements whose bit filter (of fixed size) is broadcast.
+FILTER_ROWS, FILTER_BITS = 8_000_000, 27
 #: Members in a tile's block.
 BLOCK = 512
 MAX_BITS = 4096
@@ -124,12 +127,52 @@ def _isin(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[j] == x
 
 
-def _heavy(members: DataFrame):
-    found = members.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    found = found.where((F.col("c") > HEAVY_ROWS) & (F.col("lo") != F.col("hi"))).orderBy(F.desc("c"), "token").select("token").limit(HEAVY_LIST)
+def _heavy(rows: DataFrame) -> np.ndarray:
+    """Elements of very many prefixes, counted where a batch of rows holds one ``LOCAL`` times or more."""
+
+    def run(batches):
+        for b in batches:
+            token, count = np.unique(b.column(0).flatten().to_numpy(), return_counts=True)
+            often = count >= LOCAL
+            yield pa.RecordBatch.from_arrays([pa.array(token[often]), pa.array(count[often])], names=["token", "c"])
+
+    found = rows.select("tokens").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    found = found.where(F.col("c") > HEAVY_ROWS).orderBy(F.desc("c"), "token").select("token").limit(HEAVY_LIST)
     return np.sort(np.array([r[0] for r in found.collect()], np.int64).view(np.uint64))
 
 
+def _members(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(token, node) of elements that two rows or more have in their prefixes, among one row a node.
+
+    The repeated elements are found by counting. Where they are at most ``FILTER_ROWS``, a bit filter of
+    fixed size goes to the rows and drops most others before the shuffle; beyond that all rows
+    are joined. What the filter lets through by chance is sorted out by the caller's exact grouping.
+    """
+    lead = small(nodes.select(F.col("node").alias("__node"), F.col("doc_id").alias("__lead")))
+    one = rows.join(lead, (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__lead")), "left_semi").select("node", "tokens")
+    repeated = one.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    repeated = written(repeated, "repeated")
+    every = one.select("node", F.explode("tokens").alias("token"))
+    if repeated.count() > FILTER_ROWS:
+        return every.join(repeated, "token")
+    bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    for batch in repeated.toArrow().to_batches():
+        at = K.mix(batch.column(0).to_numpy().view(np.uint64)) >> K.U64(64 - FILTER_BITS)
+        np.bitwise_or.at(bits, (at >> K.U64(3)).astype(np.int64), (1 << (at & K.U64(7)).astype(np.int64)).astype(np.uint8))
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for b in batches:
+            node, tokens = b.column(0).to_numpy(), b.column(1)
+            flat = tokens.flatten().to_numpy()
+            owner = np.repeat(node, np.diff(tokens.offsets.to_numpy()))
+            at = K.mix(flat.view(np.uint64)) >> K.U64(64 - FILTER_BITS)
+            keep = (held.value[(at >> K.U64(3)).astype(np.int64)] >> (at & K.U64(7)).astype(np.uint8)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([pa.array(owner[keep]), pa.array(flat[keep])], names=["node", "token"])
+
+    return one.mapInArrow(run, "node long, token long")
+
+
 def _bits(size: float) -> int:
     """Bits of the signature of a set: a power of two, about its size."""
     return int(min(MAX_BITS, max(64, 1 << math.ceil(math.log2(max(size, 1))))))
@@ -333,13 +376,12 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
         drop(spark, own)
     else:
         raise RuntimeError("set digests collide under every salt")
-    members = rows.where("node is not null").select("node", F.explode("tokens").alias("token"))
-    late = _heavy(members)
+    late = _heavy(rows)
     if len(late):
         rows = written(_prefixes(docs, k, percent, salt, spark.sparkContext.broadcast(late)), "sets")
         drop(spark, own)
-        members = rows.where("node is not null").select("node", F.explode("tokens").alias("token"))
     # elements met by two nodes or more, and who meets there
+    members = written(_members(rows, nodes), "members")
     hubs = members.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
     met = written(members.join(hubs, "token").groupBy("token", "node").agg(F.min("hub").alias("hub"), F.min("last").alias("last")), "met")
     stars = met.select(F.col("node").alias("b"), F.explode(F.array("hub", "last")).alias("a")).where("a <> b")
