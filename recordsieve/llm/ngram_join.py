@@ -14,9 +14,11 @@ partners, groups or lengths.
 3. Nodes that meet at an element are first held against the element's least and greatest node (stars, linear
    in the members). Verified links are merged by connected components.
 4. Members of an element that are still in different components meet in tiles: a size band and the
-   next one, in blocks of at most ``BLOCK`` members. There, bitmap signatures as wide as the band's sets
-   are xor-ed; the bit count bounds the overlap from above; only pairs that the bound admits and
-   that components have not joined go to the exact intersection of their sorted arrays.
+   next one, in blocks of at most ``BLOCK``. There, bitmap signatures about as wide as the sets are xor-ed;
+   the bit count bounds the overlap from above. A task answers with a forest of the admitted pairs.
+5. Each tree of that forest is a cluster that holds both ends of every admitted pair. Blocks of a
+   cluster, by size band, form tiles whose nodes send their sorted arrays once, for the exact intersections
+   of the admitted pairs. A tile answers with the links that connect its nodes, not with all pairs.
 
 Defined cases: null text is an empty set; null ids take part, and a component's id is its smallest
 id that is not null (null if none); repeated rows are copies; other columns are not read by
@@ -297,8 +299,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, salt:
     return rows.select("tile", "kind", "a", "b", "elements").mapInArrow(run, "a long, b long")
 
 
-def _tile_pairs(rows: DataFrame, percent: int, ratio: float) -> DataFrame:
-    """Pairs of different labels that meet in a tile and that their signatures admit."""
+def _admitted_forest(rows: DataFrame, percent: int, ratio: float) -> DataFrame:
+    """Edges (a, b) that connect whatever pairs of different labels meet in a tile and are admitted by their bits.
+
+    A task answers with a forest over its nodes, so with no more edges than nodes.
+    """
     names = ["token", "tile", "i", "j"]
 
     def groups(batches):
@@ -317,15 +322,21 @@ def _tile_pairs(rows: DataFrame, percent: int, ratio: float) -> DataFrame:
         if held is not None and len(held):
             yield held
 
-    def once(found):
-        u = np.unique(np.ascontiguousarray(np.concatenate(found)).view("i8,i8").ravel())
-        return pa.RecordBatch.from_arrays([pa.array(u["f0"]), pa.array(u["f1"])], names=["a", "b"])
+    def join(up, found):
+        pairs = np.unique(np.ascontiguousarray(np.concatenate(found)).view("i8,i8").ravel())
+        for x, y in zip(pairs["f0"].tolist(), pairs["f1"].tolist(), strict=True):
+            while up.get(x, x) != x:
+                up[x] = x = up.get(up[x], up[x])
+            while up.get(y, y) != y:
+                up[y] = y = up.get(up[y], up[y])
+            if x != y:
+                up[max(x, y)] = min(x, y)
 
     def run(batches):
-        found, waiting = [], 0
+        found, waiting, up = [], 0, {}
         for t in groups(batches):
             if waiting > 1 << 20:  # pairs meet at many elements
-                yield once(found)
+                join(up, found)
                 found, waiting = [], 0
             keys = np.stack([t.column(c).to_numpy() for c in names])
             group = np.concatenate(([0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(0))))
@@ -356,12 +367,114 @@ def _tile_pairs(rows: DataFrame, percent: int, ratio: float) -> DataFrame:
                     left = left[left + d < len(g)]
                     left = left[g[left] == g[left + d]]
         if found:
-            yield once(found)
+            join(up, found)
+        if up:
+            yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array(list(up.values()), pa.int64())], names=["a", "b"])
 
     cols = [*names, "blk", "node", "label", "n", "sig"]
     return rows.select(*cols).repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long")
 
 
+def _tiles(clusters: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(tile, side, node): blocks of a cluster (node, label) in a size band, against each other and the next band's."""
+    band = F.floor(F.log("n") / F.lit(-math.log(percent / 100))).cast("int")
+    at = clusters.select("node", F.col("label").alias("cluster")).join(nodes.select("node", band.alias("band")), "node")
+    size = at.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    at = at.join(size, ["cluster", "band"]).select("node", F.xxhash64("cluster", "band", F.pmod(F.xxhash64("node"), "blocks").cast("int")).alias("block"))
+    size = size.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", "band", F.xxhash64("cluster", "band", "part").alias("block"))
+    both = size.toDF("cluster", "b1", "p").join(size.toDF("cluster", "b2", "q"), "cluster").where((F.abs(F.col("b1") - F.col("b2")) <= 1) & (F.col("p") <= F.col("q")))
+    tiles = both.select("p", "q", F.xxhash64("p", "q").alias("tile"))
+    sides = tiles.select("tile", F.lit(0).alias("side"), F.col("p").alias("block")).unionByName(tiles.where("p <> q").select("tile", F.lit(1).alias("side"), F.col("q").alias("block")))
+    return sides.join(at, "block").select("tile", "side", "node")
+
+
+def _groups(batches, column: int = 0):
+    """Tables of whole tiles from batches sorted by tile."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        if not len(t):
+            continue
+        tile = t.column(column).to_numpy()
+        new = np.flatnonzero(tile[1:] != tile[:-1]) + 1
+        starts = [0, *new.tolist()]
+        for a, z in zip(starts[:-1], starts[1:], strict=True):
+            yield t.slice(a, z - a)
+        held = t.slice(starts[-1])
+    if held is not None and len(held):
+        yield held
+
+
+def _candidates(t: pa.Table, percent: int) -> np.ndarray:
+    """Of a tile's rows (tile, side, node, label, n, sig): which pairs (row, column) sizes and bits admit across labels."""
+    side, node, label, n = (t.column(c).to_numpy() for c in ("side", "node", "label", "n"))
+    sigs = t.column("sig").to_pylist()
+    bits = 8 * min(map(len, sigs))
+    x = _fold(sigs, bits)
+    ok = (label[:, None] != label[None, :]) & (node[:, None] < node[None, :])
+    if side.any():
+        ok &= side[:, None] != side[None, :]
+    ok &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+    rows = np.flatnonzero(ok.any(1))
+    for r in rows:
+        cols = np.flatnonzero(ok[r])
+        apart = np.bitwise_count(x[r] ^ x[cols]).sum(1, dtype=np.int64)
+        ok[r, cols] = _admitted(n[r], n[cols], apart, percent)
+    return ok
+
+
+def _common(parts: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of every row's with every column's sorted set."""
+    flat, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    often = np.bincount(inverse, minlength=len(flat)) > 1
+    place = np.cumsum(often) - 1
+    at = often[inverse]
+    owner, place = owner[at], place[inverse[at]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((len(rows), len(cols)), np.float32)
+    for a in range(0, int(often.sum()), 4096):
+        i, j = np.searchsorted(place, [a, a + 4096])
+        has = np.zeros((len(parts), 4096), np.float32)
+        has[owner[i:j], place[i:j] - a] = 1
+        out += has[rows] @ has[cols].T
+    return out
+
+
+def _tile_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that link, as many as connect what the tiles' links connect."""
+
+    def run(batches):
+        for t in _groups(batches):
+            ok = _candidates(t, percent)
+            r, c = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+            if not len(r):
+                continue
+            e = t.column("elements").combine_chunks()
+            e = e.chunk(0) if isinstance(e, pa.ChunkedArray) else e
+            off, values = e.offsets.to_numpy(), e.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            parts = [values[off[i] : off[i + 1]] for i in range(len(e))]
+            n = t.column("n").to_numpy()
+            both = _common(parts, r, c).astype(np.int64)
+            linked = ok[np.ix_(r, c)] & (100 * both >= percent * (n[r][:, None] + n[c][None, :] - both))
+            node, up, out = t.column("node").to_numpy(), {}, []
+            for i, j in zip(*np.nonzero(linked), strict=True):
+                x, y = int(node[r[i]]), int(node[c[j]])
+                while up.get(x, x) != x:
+                    x = up[x]
+                while up.get(y, y) != y:
+                    y = up[y]
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    out.append((node[r[i]], node[c[j]]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
+
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+
+
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
@@ -396,13 +509,16 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     ratio = percent / 100
     band = F.floor(F.log("n") / F.lit(-math.log(ratio))).cast("long")
     left = now.join(open_, "token").join(nodes.select("node", "n"), "node").select("token", "node", "label", "n", F.explode(F.array(band, band - 1)).alias("tile"))
-    left = written(left, "tiles")
+    left = written(left, "open")
     count = left.groupBy("token", "tile").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
     left = left.join(count.select("token", "tile", F.ceil(F.col("c") / BLOCK).cast("long").alias("blocks")), ["token", "tile"])
     left = left.withColumn("blk", F.pmod(F.xxhash64("node"), "blocks")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     left = left.withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")}).join(nodes.select("node", "sig"), "node")
-    pairs = written(_tile_pairs(left, percent, ratio).distinct(), "pairs")
-    more = written(_verified(pairs, docs, nodes, k, salt, percent), "links")
+    clusters = written(components(_admitted_forest(left, percent, ratio), "a", "b"), "clusters")
+    about = nodes.select("node", "n", "sig").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sets = _sets(docs, nodes.join(clusters.select("node"), "node", "left_semi").select("node", "doc_id"), k, salt)
+    full = _tiles(clusters, nodes, percent).join(about, "node").join(sets, "node").select("tile", "side", "node", "label", "n", "sig", "elements")
+    more = written(_tile_links(full, percent), "links")
     if more.limit(1).count():
         labels = written(components(links.unionByName(more), "a", "b"), "labels")
 
