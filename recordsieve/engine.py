@@ -56,6 +56,26 @@ class Engine:
     def lines(self, path: str, request: Program, **limits) -> Iterator[str]:
         return ndjson.ordered(self.run(path, request, **limits)[0])
 
+    def each(self, path: str, request: Program, on_record: Callable[[int, bool, str | None], bool | None], cancelled: Callable[[], bool] | None = None, line_framed: bool = False) -> Result:
+        """Call ``on_record(index, matched, output)`` in input order, a partition at a time on the driver.
+
+        An answer of False stops after that record, with reason "callback"; a true ``cancelled()`` before the next
+        record, with reason "cancelled".
+        """
+        rows = records.evaluated(self.read(path, line_framed), request).select("record_index", "matched", "output", F.octet_length("value").alias("size"))
+        result = Result(0, 0, 0, records.STOP_NONE)
+        for r in rows.orderBy("record_index").toLocalIterator():
+            if cancelled and cancelled():
+                result.reason = "cancelled"
+                break
+            result.seen += 1
+            result.matched += r["matched"]
+            result.bytes += r["size"] + 1
+            if on_record(r["record_index"], r["matched"], r["output"]) is False:
+                result.reason = "callback"
+                break
+        return result
+
     def filter_file(self, path: str, request: Program, out: str) -> None:
         """Write the request's lines to a new folder of text files."""
         if ndjson.same_file(path, out):

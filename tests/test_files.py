@@ -37,6 +37,15 @@ def test_engine(spark, path, tmp_path):
     assert capabilities()["formats"]
 
 
+def test_callbacks(spark, path):
+    e, seen = Engine(spark), []
+    result = e.each(path, e.request("/s=open"), lambda i, hit, line: seen.append((i, hit, line)))
+    assert (result.seen, result.matched, result.reason) == (4, 2, "none") and seen[1] == (1, False, None)
+    assert e.each(path, e.request(""), lambda i, hit, line: i < 1).reason == "callback"
+    result = e.each(path, e.request(""), lambda i, hit, line: None, cancelled=lambda: True)
+    assert (result.seen, result.reason) == (0, "cancelled")
+
+
 def test_rewrite(spark, path, tmp_path):
     e = Engine(spark)
     os.chmod(path, 0o640)
