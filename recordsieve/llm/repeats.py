@@ -52,7 +52,7 @@ def _text_keys(t: K.Text) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each text."""
     p = K.prefix_hash(t.data)
     a = K.span_hash(p, t.offsets[:-1], t.offsets[1:])
-    q = K.prefix_hash(t.data ^ np.uint8(0x5A))
+    q = K.prefix_hash(t.data ^ np.uint8(0x5A))  # the same kernel over other codes
     return a, K.mix(K.span_hash(q, t.offsets[:-1], t.offsets[1:]) ^ _SALT)
 
 
@@ -69,25 +69,46 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def regions(t: K.Text, length: int = LENGTH):
-    """Of each region: document, first window, last window, anchor's place, anchor hash, content hash."""
+def regions(t: K.Text, length: int = LENGTH, contents: bool = True):
+    """Of each region: document, first window, last window, anchor's place, anchor hash, content hash.
+
+    Without ``contents`` documents and content hashes are left out.
+    """
     n = len(t.data)
     empty = np.empty(0, np.int64)
     if n < length:
         return empty, empty, empty, empty, np.empty(0, np.uint64), np.empty(0, np.uint64)
     p = K.prefix_hash(t.data)
-    at = np.arange(n - ANCHOR + 1)
-    h = K.span_hash(p, at, at + ANCHOR)
-    low = _sliding_min((h & K.U64(0xFFFFFFFF00000000)) | at.astype(np.uint64), length - ANCHOR + 1)
+    h = K.run_hash(p, ANCHOR)
+    low = _sliding_min((h & K.U64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), length - ANCHOR + 1)
     anchor = (low & K.U64(0xFFFFFFFF)).astype(np.int64)  # of the window that starts here
-    doc = np.repeat(np.arange(len(t)), np.diff(t.offsets))[: len(anchor)]
-    valid = t.offsets[doc + 1] - np.arange(len(anchor)) >= length
-    new = np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))
+    valid = np.ones(len(anchor) + length, bool)  # whether the window that starts here ends inside its document
+    for end in t.offsets[1:].tolist():
+        valid[max(0, end - length + 1) : end] = False
+    valid = valid[: len(anchor)]
+    new = np.append(True, anchor[1:] != anchor[:-1])
+    inner = t.offsets[1:-1]
+    new[inner[inner < len(new)]] = True
     cut = np.flatnonzero(valid & (new | ~np.append(False, valid[:-1])))
     stop = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True))
     a = anchor[cut]
+    if not contents:
+        return empty, cut, stop, a, h[a], np.empty(0, np.uint64)
+    doc = np.searchsorted(t.offsets, cut, "right") - 1
     content = K.mix(K.span_hash(p, cut, stop + length) ^ K.mix((a - cut).astype(np.uint64) + _SALT))
-    return doc[cut], cut, stop, a, h[a], content
+    return doc, cut, stop, a, h[a], content
+
+
+def _shared_anchors(docs: DataFrame, length: int) -> DataFrame:
+    """(h) of the anchors that occur twice or more; every task counts its own first."""
+
+    def run(batches):
+        for b in batches:
+            for t in K.slices(b.column(0)):
+                h, count = np.unique(regions(t, length, contents=False)[4], return_counts=True)
+                yield pa.RecordBatch.from_arrays([_signed(h), pa.array(count.astype(np.int64))], names=["h", "k"])
+
+    return docs.select("text").mapInArrow(run, "h long, k long").groupBy("h").agg(F.sum("k").alias("k")).where("k > 1").select("h")
 
 
 def _regions_of(docs: DataFrame, length: int) -> DataFrame:
@@ -244,9 +265,8 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: in
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     if length % 8 or length <= ANCHOR or length - ANCHOR >= 1 << 16:
         raise ValueError(f"length is a multiple of 8 above {ANCHOR}")
-    every = _regions_of(docs, length)
-    shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
-    rows = written(every.join(shared, "h").withColumn("c", F.lit(1).cast("long")), "regions")
+    shared = _shared_anchors(docs, length)
+    rows = written(_regions_of(docs, length).join(shared, "h").withColumn("c", F.lit(1).cast("long")), "regions")
     judged = written(_judged(rows), "judged")
     spans = [_whole(judged, length).distinct()]
     edges = written(_bytes_of(docs, _edges(judged), length), "edges")

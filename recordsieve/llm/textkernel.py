@@ -144,6 +144,13 @@ def span_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((p[end] - p[start]) * inv[start] + (end - start).astype(U64))
 
 
+def run_hash(p: np.ndarray, k: int) -> np.ndarray:
+    """span_hash of every k bytes in a row."""
+    n = len(p) - k
+    _, inv = _powers(len(p))
+    return mix((p[k:] - p[:-k]) * inv[:n] + U64(k)) if n > 0 else np.empty(0, U64)
+
+
 def word_hash(w: Words) -> np.ndarray:
     return span_hash(prefix_hash(w.norm), w.start, w.end)
 
