@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -41,6 +42,18 @@ def written(df: DataFrame, label: str = "t", keep: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Fewer rows an Arrow batch, for actions inside the block whose rows are wide."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drop(spark: SparkSession, paths: list[str]) -> None:
     """Delete tables written by :func:`written` that no frame still needs."""
     jvm = spark.sparkContext._jvm

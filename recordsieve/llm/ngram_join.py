@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .cluster import drop, small, written
+from .cluster import arrow_rows, drop, small, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -46,6 +46,8 @@ LOCAL = 4
 FILTER_ROWS, FILTER_BITS = 8_000_000, 27
 #: Members in a tile's block.
 BLOCK = 512
+#: Admitted pairs that a task holds before it joins them to its forest; rows of sets in an Arrow batch.
+WAITING, SET_ROWS = 1 << 17, 512
 MAX_BITS = 4096
 
 
@@ -214,7 +216,8 @@ def _sets(docs: DataFrame, leads: DataFrame, k: int, salt: int) -> DataFrame:
 
     # an id, or its absence, may be on rows of several texts; other nodes than the leads' go
     found = chosen.mapInArrow(run, "node long, elements array<long>").join(small(leads.select("node")), "node", "left_semi")
-    found = written(found, "elements")
+    with arrow_rows(docs.sparkSession, SET_ROWS):
+        found = written(found, "elements")
     if found.groupBy("node").count().where("count > 1").limit(1).count():  # rows of one id and text
         found = written(found.dropDuplicates(["node"]), "elements")
     return found
@@ -335,9 +338,6 @@ def _admitted_forest(rows: DataFrame, percent: int, ratio: float) -> DataFrame:
     def run(batches):
         found, waiting, up = [], 0, {}
         for t in groups(batches):
-            if waiting > 1 << 20:  # pairs meet at many elements
-                join(up, found)
-                found, waiting = [], 0
             keys = np.stack([t.column(c).to_numpy() for c in names])
             group = np.concatenate(([0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(0))))
             tile, node, label, n, blk = (t.column(c).to_numpy() for c in ("tile", "node", "label", "n", "blk"))
@@ -363,6 +363,9 @@ def _admitted_forest(rows: DataFrame, percent: int, ratio: float) -> DataFrame:
                         if len(x):
                             found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
                             waiting += len(x)
+                            if waiting > WAITING:
+                                join(up, found)
+                                found, waiting = [], 0
                     d += 1
                     left = left[left + d < len(g)]
                     left = left[g[left] == g[left + d]]
@@ -500,7 +503,8 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     stars = met.select(F.col("node").alias("b"), F.explode(F.array("hub", "last")).alias("a")).where("a <> b")
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     stars = written(_possible(stars, nodes, percent), "stars")
-    links = written(_verified(stars, docs, nodes, k, salt, percent), "links")
+    with arrow_rows(spark, SET_ROWS):
+        links = written(_verified(stars, docs, nodes, k, salt, percent), "links")
     labels = written(components(links, "a", "b"), "labels")
 
     # members of an element that are not joined yet meet in tiles
@@ -518,7 +522,8 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     about = nodes.select("node", "n", "sig").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sets = _sets(docs, nodes.join(clusters.select("node"), "node", "left_semi").select("node", "doc_id"), k, salt)
     full = _tiles(clusters, nodes, percent).join(about, "node").join(sets, "node").select("tile", "side", "node", "label", "n", "sig", "elements")
-    more = written(_tile_links(full, percent), "links")
+    with arrow_rows(spark, SET_ROWS):
+        more = written(_tile_links(full, percent), "links")
     if more.limit(1).count():
         labels = written(components(links.unionByName(more), "a", "b"), "labels")
 
