@@ -46,8 +46,10 @@ LOCAL = 4
 FILTER_ROWS, FILTER_BITS = 8_000_000, 27
 #: Members in a tile's block.
 BLOCK = 512
-#: Admitted pairs that a task holds before it joins them to its forest; rows of sets in an Arrow batch.
-WAITING, SET_ROWS = 1 << 17, 512
+#: Nodes in a block whose sets meet in a tile.
+SET_BLOCK = 256
+#: Admitted pairs that a task holds before it joins them to its forest; rows of sets and of texts in an Arrow batch.
+WAITING, SET_ROWS, TEXT_ROWS = 1 << 17, 256, 2000
 MAX_BITS = 4096
 
 
@@ -259,7 +261,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, salt:
     ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
     home = ends.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("home"))
     size = home.groupBy("home").agg(F.count(F.lit(1)).alias("c"))
-    home = home.join(size, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK).cast("long"))).alias("block"))
+    home = home.join(size, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / SET_BLOCK).cast("long"))).alias("block"))
     home = written(home, "homes")
     sets = _sets(docs, nodes.join(home.select("node"), "node", "left_semi").select("node", "doc_id"), k, salt)
     placed = pairs.join(home.select(F.col("node").alias("a"), F.col("block").alias("p")), "a").join(home.select(F.col("node").alias("b"), F.col("block").alias("q")), "b")
@@ -382,7 +384,7 @@ def _tiles(clusters: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(tile, side, node): blocks of a cluster (node, label) in a size band, against each other and the next band's."""
     band = F.floor(F.log("n") / F.lit(-math.log(percent / 100))).cast("int")
     at = clusters.select("node", F.col("label").alias("cluster")).join(nodes.select("node", band.alias("band")), "node")
-    size = at.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    size = at.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / SET_BLOCK).cast("int").alias("blocks"))
     at = at.join(size, ["cluster", "band"]).select("node", F.xxhash64("cluster", "band", F.pmod(F.xxhash64("node"), "blocks").cast("int")).alias("block"))
     size = size.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", "band", F.xxhash64("cluster", "band", "part").alias("block"))
     both = size.toDF("cluster", "b1", "p").join(size.toDF("cluster", "b2", "q"), "cluster").where((F.abs(F.col("b1") - F.col("b2")) <= 1) & (F.col("p") <= F.col("q")))
@@ -428,21 +430,30 @@ def _candidates(t: pa.Table, percent: int) -> np.ndarray:
 
 
 def _common(parts: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of every row's with every column's sorted set."""
-    flat, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    often = np.bincount(inverse, minlength=len(flat)) > 1
-    place = np.cumsum(often) - 1
-    at = often[inverse]
-    owner, place = owner[at], place[inverse[at]]
-    order = np.argsort(place, kind="stable")
-    owner, place = owner[order], place[order]
+    """Sizes of the intersections of every row's with every column's sorted set.
+
+    Elements are taken in slices of their hash, so that little but the sets is in memory; those of two sets or more
+    become 0/1 columns, whose products count what is common.
+    """
+    values = np.concatenate(parts)
+    owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+    slices = 1 + len(values) // (1 << 17)
     out = np.zeros((len(rows), len(cols)), np.float32)
-    for a in range(0, int(often.sum()), 4096):
-        i, j = np.searchsorted(place, [a, a + 4096])
-        has = np.zeros((len(parts), 4096), np.float32)
-        has[owner[i:j], place[i:j] - a] = 1
-        out += has[rows] @ has[cols].T
+    for k in range(slices):
+        at = np.flatnonzero((values >> K.U64(20)) % K.U64(slices) == k)
+        if not len(at):
+            continue
+        own = owner[at]
+        _, inverse, count = np.unique(values[at], return_inverse=True, return_counts=True)
+        often = count > 1
+        place = (np.cumsum(often) - 1).astype(np.int32)
+        keep = often[inverse]
+        own, place = own[keep], place[inverse[keep]]
+        for a in range(0, int(often.sum()), 4096):
+            here = (place >= a) & (place < a + 4096)
+            has = np.zeros((len(parts), 4096), np.float32)
+            has[own[here], place[here] - a] = 1
+            out += has[rows] @ has[cols].T
     return out
 
 
@@ -484,7 +495,8 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     own: list[str] = []
     for salt in range(8):
-        rows = written(_prefixes(docs, k, percent, salt, None), "sets", own)
+        with arrow_rows(spark, TEXT_ROWS):
+            rows = written(_prefixes(docs, k, percent, salt, None), "sets", own)
         nodes = rows.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min("n").alias("n0"), F.max("check").alias("c"), F.min("check").alias("c0"))
         nodes = written(nodes, "nodes")
         if not nodes.where("n <> n0 or c <> c0").limit(1).count():
@@ -494,7 +506,8 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
         raise RuntimeError("set digests collide under every salt")
     late = _heavy(rows)
     if len(late):
-        rows = written(_prefixes(docs, k, percent, salt, spark.sparkContext.broadcast(late)), "sets")
+        with arrow_rows(spark, TEXT_ROWS):
+            rows = written(_prefixes(docs, k, percent, salt, spark.sparkContext.broadcast(late)), "sets")
         drop(spark, own)
     # elements met by two nodes or more, and who meets there
     members = written(_members(rows, nodes), "members")
