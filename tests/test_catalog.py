@@ -12,7 +12,11 @@ def test_query(name, spark, sf_dir):
 
 
 def test_pushed_down(spark, sf_dir):
-    plan = catalog.QUERIES["typed_and"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        plan = catalog.QUERIES["typed_and"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "EqualTo(l_returnflag,R)" in plan and "GreaterThanOrEqual(l_quantity,25.0)" in plan and "StringStartsWith(l_linestatus,O)" in plan
     assert "l_extendedprice" not in plan.split("ReadSchema")[1]
     assert "Exchange" not in plan and "Python" not in plan
