@@ -191,18 +191,16 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def _windows(t: K.Text, v: Vocabulary) -> tuple[K.Words, np.ndarray, np.ndarray]:
-    """The words, tokens, and for each the tokens around it; places beyond a text hold the edge."""
-    w = K.words(t, K.WORD_LOWER)
-    token = v.encode(w)
-    n = len(token)
-    around = np.zeros((n, 2 * SIDE), np.int64)
-    at = np.arange(n)
+def _around(w: K.Words, token: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the words ``at`` the tokens on both sides; places beyond a text hold the edge."""
+    around = np.empty((len(at), 2 * SIDE), np.int64)
+    doc = w.doc[at]
+    first, last = w.first[doc], w.first[doc + 1]
     for k, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        j = np.clip(at + d, 0, max(n - 1, 0))
-        same = (at + d >= 0) & (at + d < n) & (w.doc[j] == w.doc) if n else np.zeros(0, bool)
-        around[:, k] = np.where(same, token[j], _EDGE) if n else 0
-    return w, token, around
+        j = at + d
+        inside = (j >= first) & (j < last)
+        around[:, k] = np.where(inside, token[np.where(inside, j, at)], _EDGE)
+    return around
 
 
 def train(docs: DataFrame, text: str = "text", size: int = VOCAB, rounds: int = ROUNDS, examples: int = EXAMPLES) -> tuple[Vocabulary, Network] | None:
@@ -229,14 +227,15 @@ def train(docs: DataFrame, text: str = "text", size: int = VOCAB, rounds: int =
 
             for b in batches:
                 for t in K.slices(b.column(0)):
-                    _, token, around = _windows(t, voc)
+                    w = K.words(t, K.WORD_LOWER)
+                    token = voc.encode(w)
                     if not len(token):
                         continue
                     mark = K.mix(np.cumsum(token.astype(np.uint64) + K.U64(1)) ^ K.U64(SEED + number)) % K.U64(1_000_000)
-                    pick = mark < examples
-                    waiting.append((around[pick], token[pick]))
-                    seen += int(pick.sum())
-                    size_ += int(pick.sum())
+                    pick = np.flatnonzero(mark < examples)
+                    waiting.append((_around(w, token, pick), token[pick]))
+                    seen += len(pick)
+                    size_ += len(pick)
                     if size_ >= 1 << 15:
                         step()
                         size_ = 0
@@ -292,11 +291,12 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network] | None, columns: li
                 if got is None:
                     continue
                 v, net = got
-                w, token, around = _windows(t, v)
+                w = K.words(t, K.WORD_LOWER)
+                token = v.encode(w)
                 at = slice(t.first_row, t.first_row + len(t))
                 n[at] = np.diff(w.first)
                 if len(token):
-                    lp = net.log_probability(around, token) + v.share[token]
+                    lp = net.log_probability(_around(w, token, np.arange(len(token))), token) + v.share[token]
                     s[at] = np.bincount(w.doc, weights=lp, minlength=len(t))
             yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(n), pa.array(s), pa.array(s / np.maximum(n, 1), mask=n == 0)], names=[*names, "n_tokens", "pll", "mean_pll"])
 
