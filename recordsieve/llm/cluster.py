@@ -6,11 +6,14 @@ import contextlib
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of narrow keys that a broadcast side may have at most (about 16 MB of longs).
-BROADCAST_ROWS = 1_000_000
+#: Rows of narrow keys that a broadcast side may have at most (a few MB of longs).
+BROADCAST_ROWS = 200_000
+#: Rows of an Arrow batch that holds texts.
+TEXT_ROWS = 1500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +57,18 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Lower the session's Arrow batches to ``rows``: whole texts of ten thousand rows are much for one buffer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def give_back() -> None:
+    """Return freed Arrow buffers of this worker, which is kept for later tasks, to the system."""
+    pa.default_memory_pool().release_unused()
+
+
 def drop(spark: SparkSession, paths: list[str]) -> None:
     """Delete tables written by :func:`written` that no frame still needs."""
     jvm = spark.sparkContext._jvm

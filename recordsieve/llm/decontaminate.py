@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
+from .cluster import text_batches
 
 WIDTH = 8
 #: Windows in one broadcast hash set (about 100 bytes each with its words).
@@ -116,6 +117,7 @@ def _batch(text: pa.Array, blocks) -> pa.StructArray:
 def _broadcast(benchmark: DataFrame, width: int) -> list:
     """The items' texts as broadcasts of at most about BROADCAST_WINDOWS words each."""
     sc = benchmark.sparkSession.sparkContext
+    text_batches(benchmark.sparkSession)
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
     total = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
     n = -(-2 * total // BROADCAST_WINDOWS) if total > BROADCAST_WINDOWS else 1

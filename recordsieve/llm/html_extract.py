@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .cluster import text_batches
 
 TRAIN_PAGES, EPOCHS, HIDDEN, SEED = 600, 8, 16, 7
 PATH_DIM, WORD_DIM, COUNTS = 96, 24, 6
@@ -352,6 +353,7 @@ def default_labeller() -> Labeller:
 
 def extract(pages: DataFrame, columns: list[str], html: str = "html", net: Labeller | None = None) -> DataFrame:
     """The given columns with the main text of every page."""
+    text_batches(pages.sparkSession)
     held = pages.sparkSession.sparkContext.broadcast(net or default_labeller())
     k = len(columns)
     names = [f"c{i}" for i in range(k)]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .cluster import written
+from .cluster import text_batches, written
 
 VOCAB, RARE, SIDE, WIDTH = 2000, 240, 3, 24
 EXAMPLES, ROUNDS, BATCH, RATE = 30_000, 2, 256, 0.05
@@ -205,6 +205,7 @@ def _around(w: K.Words, token: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, text: str = "text", size: int = VOCAB, rounds: int = ROUNDS, examples: int = EXAMPLES) -> tuple[Vocabulary, Network] | None:
     sc = docs.sparkSession.sparkContext
+    text_batches(docs.sparkSession)
     v = vocabulary(docs, text, size)
     if v is None:
         return None

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .cluster import arrow_rows, drop, small, written
+from .cluster import arrow_rows, drop, give_back, small, text_batches, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -48,8 +48,8 @@ FILTER_ROWS, FILTER_BITS = 8_000_000, 27
 BLOCK = 512
 #: Nodes in a block whose sets meet in a tile.
 SET_BLOCK = 256
-#: Admitted pairs that a task holds before it joins them to its forest; rows of sets and of texts in an Arrow batch.
-WAITING, SET_ROWS, TEXT_ROWS = 1 << 17, 256, 2000
+#: Admitted pairs that a task holds before it joins them to its forest; rows of sets in an Arrow batch.
+WAITING, SET_ROWS = 1 << 17, 256
 MAX_BITS = 4096
 
 
@@ -215,6 +215,7 @@ def _sets(docs: DataFrame, leads: DataFrame, k: int, salt: int) -> DataFrame:
             sets = [s for s in shingle_sets(b.column(0), k) if len(s)]
             nodes = [_digest(s, salt)[0] for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(sets)], names=["node", "elements"])
+        give_back()
 
     # an id, or its absence, may be on rows of several texts; other nodes than the leads' go
     found = chosen.mapInArrow(run, "node long, elements array<long>").join(small(leads.select("node")), "node", "left_semi")
@@ -485,6 +486,7 @@ def _tile_links(rows: DataFrame, percent: int) -> DataFrame:
                     out.append((node[r[i]], node[c[j]]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
+        give_back()
 
     return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 
@@ -492,11 +494,11 @@ def _tile_links(rows: DataFrame, percent: int) -> DataFrame:
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
+    text_batches(spark)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     own: list[str] = []
     for salt in range(8):
-        with arrow_rows(spark, TEXT_ROWS):
-            rows = written(_prefixes(docs, k, percent, salt, None), "sets", own)
+        rows = written(_prefixes(docs, k, percent, salt, None), "sets", own)
         nodes = rows.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min("n").alias("n0"), F.max("check").alias("c"), F.min("check").alias("c0"))
         nodes = written(nodes, "nodes")
         if not nodes.where("n <> n0 or c <> c0").limit(1).count():
@@ -506,8 +508,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
         raise RuntimeError("set digests collide under every salt")
     late = _heavy(rows)
     if len(late):
-        with arrow_rows(spark, TEXT_ROWS):
-            rows = written(_prefixes(docs, k, percent, salt, spark.sparkContext.broadcast(late)), "sets")
+        rows = written(_prefixes(docs, k, percent, salt, spark.sparkContext.broadcast(late)), "sets")
         drop(spark, own)
     # elements met by two nodes or more, and who meets there
     members = written(_members(rows, nodes), "members")

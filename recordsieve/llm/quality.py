@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .cluster import small, written
+from .cluster import small, text_batches, written
 
 LEAST_WORDS, REPEAT_PERCENT, RUN = 10, 20, 5
 REACH, LEAST = 6, 50
@@ -79,6 +79,7 @@ def _stats(t: K.Text) -> list[np.ndarray]:
 
 def measure(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
     """The given columns with n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words."""
+    text_batches(docs.sparkSession)
     k = len(columns)
 
     def run(batches):

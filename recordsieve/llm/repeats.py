@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .cluster import small, written
+from .cluster import small, text_batches, written
 from .suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, ANCHOR = 200, 64
@@ -263,6 +263,7 @@ def _narrowed(rows: DataFrame, grid: int, length: int) -> DataFrame:
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(t1, t2, spans) of the texts with repeats, by text key, and the ids that may have such texts."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    text_batches(docs.sparkSession)
     if length % 8 or length <= ANCHOR or length - ANCHOR >= 1 << 16:
         raise ValueError(f"length is a multiple of 8 above {ANCHOR}")
     shared = _shared_anchors(docs, length)

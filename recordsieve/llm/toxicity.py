@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .cluster import written
+from .cluster import text_batches, written
 
 TRAIN_ROWS = 20_000
 FEATURES = 200_000
@@ -196,6 +196,7 @@ def _calibrated(model: Model, n: np.ndarray, best: np.ndarray, toxic: np.ndarray
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
     """A model from at most ``rows`` labelled documents."""
     spark = docs.sparkSession
+    text_batches(spark)
     none = Model(np.zeros(1, np.uint64), np.zeros(1), known=False)
     ids = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__y"))
     ids = ids.orderBy(F.xxhash64("__id"), "__id").limit(rows)
@@ -228,6 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
     """The given columns with n_tokens, score, predicted and passages (byte start, byte end, score, E) of every row."""
+    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     k = len(columns)
 
@@ -251,6 +253,7 @@ def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text")
 
 def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs without the documents that the model calls toxic; all columns as they are."""
+    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 

@@ -116,6 +116,7 @@ def near_copies(n, edits):
 @pytest.mark.parametrize(("k", "percent", "block"), [(4, 85, 512), (5, 80, 8), (1, 50, 4)])
 def test_ngram_join(spark, odd, k, percent, block, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SET_BLOCK", block)
     monkeypatch.setattr(ngram_join, "HEAVY_ROWS", 8)
     rows = near_copies(40, 4) + [(100 + d, t) for d, t in near_copies(20, 9)] + [(200, "one two"), (201, "ONE two"), (202, "two one"), (203, ""), (204, None), (200, "one two")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
