@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of narrow keys that a broadcast side may have at most (a few MB of longs).
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 #: Rows of an Arrow batch that holds texts.
 TEXT_ROWS = 1500
 

@@ -147,7 +147,7 @@ def _heavy(rows: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in found.collect()], np.int64).view(np.uint64))
 
 
-def _members(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def _members(rows: DataFrame, nodes: DataFrame, own: list[str]) -> DataFrame:
     """(token, node) of elements that two rows or more have in their prefixes, among one row a node.
 
     The repeated elements are found by counting. Where they are at most ``FILTER_ROWS``, a bit filter of
@@ -157,7 +157,7 @@ def _members(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     lead = small(nodes.select(F.col("node").alias("__node"), F.col("doc_id").alias("__lead")))
     one = rows.join(lead, (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__lead")), "left_semi").select("node", "tokens")
     repeated = one.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    repeated = written(repeated, "repeated")
+    repeated = written(repeated, "repeated", own)
     every = one.select("node", F.explode("tokens").alias("token"))
     if repeated.count() > FILTER_ROWS:
         return every.join(repeated, "token")
@@ -205,7 +205,7 @@ def _fold(rows: list[bytes], bits: int) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, leads: DataFrame, k: int, salt: int) -> DataFrame:
+def _sets(docs: DataFrame, leads: DataFrame, k: int, salt: int, own: list[str]) -> DataFrame:
     """(node, elements) of the leads' nodes, read from rows with the leads' ids."""
     ids = leads.select(F.col("doc_id").alias("__lead")).distinct()
     chosen = docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("__lead")), "left_semi").select("text")
@@ -220,9 +220,9 @@ def _sets(docs: DataFrame, leads: DataFrame, k: int, salt: int) -> DataFrame:
     # an id, or its absence, may be on rows of several texts; other nodes than the leads' go
     found = chosen.mapInArrow(run, "node long, elements array<long>").join(small(leads.select("node")), "node", "left_semi")
     with arrow_rows(docs.sparkSession, SET_ROWS):
-        found = written(found, "elements")
+        found = written(found, "elements", own)
     if found.groupBy("node").count().where("count > 1").limit(1).count():  # rows of one id and text
-        found = written(found.dropDuplicates(["node"]), "elements")
+        found = written(found.dropDuplicates(["node"]), "elements", own)
     return found
 
 
@@ -252,7 +252,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, salt: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, salt: int, percent: int, own: list[str]) -> DataFrame:
     """Pairs (a, b) that link, enough to connect whatever the given pairs' links connect.
 
     Pairs meet in tiles of two blocks of nodes, so a set is sent once to a tile, not once to a pair. A
@@ -263,8 +263,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, salt:
     home = ends.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("home"))
     size = home.groupBy("home").agg(F.count(F.lit(1)).alias("c"))
     home = home.join(size, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / SET_BLOCK).cast("long"))).alias("block"))
-    home = written(home, "homes")
-    sets = _sets(docs, nodes.join(home.select("node"), "node", "left_semi").select("node", "doc_id"), k, salt)
+    home = written(home, "homes", own)
+    sets = _sets(docs, nodes.join(home.select("node"), "node", "left_semi").select("node", "doc_id"), k, salt, own)
     placed = pairs.join(home.select(F.col("node").alias("a"), F.col("block").alias("p")), "a").join(home.select(F.col("node").alias("b"), F.col("block").alias("q")), "b")
     placed = placed.select(F.xxhash64(F.least("p", "q"), F.greatest("p", "q")).alias("tile"), "a", "b")
     who = placed.select("tile", F.col("a").alias("node")).unionByName(placed.select("tile", F.col("b").alias("node"))).distinct()
@@ -497,10 +497,11 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     text_batches(spark)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     own: list[str] = []
+    spare: list[str] = []  # tables that the result does not need
     for salt in range(8):
         rows = written(_prefixes(docs, k, percent, salt, None), "sets", own)
         nodes = rows.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min("n").alias("n0"), F.max("check").alias("c"), F.min("check").alias("c0"))
-        nodes = written(nodes, "nodes")
+        nodes = written(nodes, "nodes", spare)
         if not nodes.where("n <> n0 or c <> c0").limit(1).count():
             break
         drop(spark, own)
@@ -511,15 +512,15 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
         rows = written(_prefixes(docs, k, percent, salt, spark.sparkContext.broadcast(late)), "sets")
         drop(spark, own)
     # elements met by two nodes or more, and who meets there
-    members = written(_members(rows, nodes), "members")
+    members = written(_members(rows, nodes, spare), "members", spare)
     hubs = members.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
-    met = written(members.join(hubs, "token").groupBy("token", "node").agg(F.min("hub").alias("hub"), F.min("last").alias("last")), "met")
+    met = written(members.join(hubs, "token").groupBy("token", "node").agg(F.min("hub").alias("hub"), F.min("last").alias("last")), "met", spare)
     stars = met.select(F.col("node").alias("b"), F.explode(F.array("hub", "last")).alias("a")).where("a <> b")
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    stars = written(_possible(stars, nodes, percent), "stars")
+    stars = written(_possible(stars, nodes, percent), "stars", spare)
     with arrow_rows(spark, SET_ROWS):
-        links = written(_verified(stars, docs, nodes, k, salt, percent), "links")
-    labels = written(components(links, "a", "b"), "labels")
+        links = written(_verified(stars, docs, nodes, k, salt, percent, spare), "links", spare)
+    labels = written(components(links, "a", "b"), "labels", spare)
 
     # members of an element that are not joined yet meet in tiles
     now = met.join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
@@ -527,23 +528,24 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     ratio = percent / 100
     band = F.floor(F.log("n") / F.lit(-math.log(ratio))).cast("long")
     left = now.join(open_, "token").join(nodes.select("node", "n"), "node").select("token", "node", "label", "n", F.explode(F.array(band, band - 1)).alias("tile"))
-    left = written(left, "open")
+    left = written(left, "open", spare)
     count = left.groupBy("token", "tile").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
     left = left.join(count.select("token", "tile", F.ceil(F.col("c") / BLOCK).cast("long").alias("blocks")), ["token", "tile"])
     left = left.withColumn("blk", F.pmod(F.xxhash64("node"), "blocks")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     left = left.withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")}).join(nodes.select("node", "sig"), "node")
-    clusters = written(components(_admitted_forest(left, percent, ratio), "a", "b"), "clusters")
+    clusters = written(components(_admitted_forest(left, percent, ratio), "a", "b"), "clusters", spare)
     about = nodes.select("node", "n", "sig").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sets = _sets(docs, nodes.join(clusters.select("node"), "node", "left_semi").select("node", "doc_id"), k, salt)
+    sets = _sets(docs, nodes.join(clusters.select("node"), "node", "left_semi").select("node", "doc_id"), k, salt, spare)
     full = _tiles(clusters, nodes, percent).join(about, "node").join(sets, "node").select("tile", "side", "node", "label", "n", "sig", "elements")
     with arrow_rows(spark, SET_ROWS):
-        more = written(_tile_links(full, percent), "links")
+        more = written(_tile_links(full, percent), "links", spare)
     if more.limit(1).count():
-        labels = written(components(links.unionByName(more), "a", "b"), "labels")
+        labels = written(components(links.unionByName(more), "a", "b"), "labels", spare)
 
     of_node = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     smallest = of_node.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_node = written(of_node.join(smallest, "label").select(F.col("node"), "component_id"), "components")
+    drop(spark, spare)
     out = rows.select("doc_id", "n", "node").join(small(of_node), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"))
