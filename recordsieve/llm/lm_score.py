@@ -6,9 +6,9 @@
   probability is its class's, shared out evenly.
 * Network: the vectors of the ``SIDE`` tokens on each side of a masked token, each in its own place,
   meet in a tanh layer that predicts the masked token by a two-level softmax (class, then token).
-* Training: every executor task runs stochastic gradient descent over the windows of ``EXAMPLES`` in each million of
-  its own tokens (by hash, so what is learned from grows with the corpus), starting from common
-  weights; the tasks' weights are averaged, weighted by their windows, for ``ROUNDS`` rounds.
+* Training: every executor task runs stochastic gradient descent over the windows of its own tokens, starting
+  from common weights; the tasks' weights are averaged, weighted by their windows, for ``ROUNDS`` rounds. The
+  rounds share the tokens out by hash, so that every token of every text is learned from once.
 * Score: every token of a whole text is masked in turn; the sum of its conditional log-probabilities
   is the text's pseudo-log-likelihood, and its mean per token the score.
 
@@ -34,7 +34,7 @@ from . import textkernel as K
 from .cluster import text_batches, written
 
 VOCAB, RARE, SIDE, WIDTH = 2000, 240, 3, 24
-EXAMPLES, ROUNDS, BATCH, RATE = 30_000, 2, 256, 0.05
+ROUNDS, BATCH, RATE = 2, 256, 0.05
 SEED = 11
 _EDGE = 0  # token 0 stands beyond both ends of a text
 
@@ -156,34 +156,48 @@ class Network:
     def gradients(self, around: np.ndarray, token: np.ndarray) -> list[np.ndarray]:
         """Of the mean negative log-probability, in the order of parts()."""
         n = len(token)
-        x = self.e[around]  # n, places, width
-        h = np.tanh(np.einsum("npi,pij->nj", x, self.w, optimize=True) + self.b)
         cls = token // self.m
-        z = np.exp(_log_softmax(h @ self.k.T + self.d))
-        z[np.arange(n), cls] -= 1
+        order = np.argsort(cls, kind="stable")
+        around, token, cls = around[order], token[order], cls[order]
+        row = np.arange(n)
+        x = self.e[around].reshape(n, -1)
+        w = self.w.reshape(-1, WIDTH)
+        h = np.tanh(x @ w + self.b)
+        z = _softmax(h @ self.k.T + self.d)
+        z[row, cls] -= 1
         z /= n
         dk, dd, dh = z.T @ h, z.sum(0), z @ self.k
         do, dc = np.zeros_like(self.o), np.zeros_like(self.c)
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in np.unique(cls).tolist():
-            i = order[cuts[c] : cuts[c + 1]]
-            z = np.exp(_log_softmax(h[i] @ self.o[c].T + self.c[c]))
-            z[np.arange(len(i)), token[i] % self.m] -= 1
-            z /= n
-            do[c], dc[c] = z.T @ h[i], z.sum(0)
-            dh[i] += z @ self.o[c]
+        own = self.o[cls]
+        z = _softmax((own @ h[:, :, None])[:, :, 0] + self.c[cls])
+        z[row, token % self.m] -= 1
+        z /= n
+        dh += (z[:, None, :] @ own)[:, 0]
+        first = np.flatnonzero(np.diff(cls, prepend=-1))  # rows lie by class
+        for c, a, b in zip(cls[first].tolist(), first.tolist(), [*first[1:].tolist(), n], strict=True):
+            do[c] = z[a:b].T @ h[a:b]
+        dc[cls[first]] = np.add.reduceat(z, first)
         da = dh * (1 - h * h)
-        dw = np.einsum("npi,nj->pij", x, da, optimize=True)
-        de = np.zeros_like(self.e)
-        np.add.at(de, around.ravel(), np.einsum("nj,pij->npi", da, self.w, optimize=True).reshape(-1, WIDTH))
+        dw = (x.T @ da).reshape(self.w.shape)
+        at = (around.ravel()[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+        de = np.bincount(at, weights=(da @ w.T).ravel(), minlength=self.e.size).astype(np.float32).reshape(self.e.shape)
         return [de, dw, da.sum(0), dk, dd, do, dc]
 
     def learn(self, around: np.ndarray, token: np.ndarray, squares: list[np.ndarray]) -> None:
         """One Adagrad step."""
         for p, g, s in zip(self.parts(), self.gradients(around, token), squares, strict=True):
             s += g * g
-            p -= RATE * g / (np.sqrt(s) + 1e-4)
+            root = np.sqrt(s)
+            root += 1e-4
+            g /= root
+            g *= RATE
+            p -= g
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(1, keepdims=True))
+    z /= z.sum(1, keepdims=True)
+    return z
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -203,7 +217,16 @@ def _around(w: K.Words, token: np.ndarray, at: np.ndarray) -> np.ndarray:
     return around
 
 
-def train(docs: DataFrame, text: str = "text", size: int = VOCAB, rounds: int = ROUNDS, examples: int = EXAMPLES) -> tuple[Vocabulary, Network] | None:
+def _turn(w: K.Words, token: np.ndarray, number: int, examples: int) -> np.ndarray:
+    """Whether a round learns from each word: rounds take successive slices of marks that hang on a text's words alone."""
+    total = np.append(K.U64(0), np.cumsum(token.astype(np.uint64) + K.U64(1)))
+    mark = K.mix((total[1:] - total[w.first[w.doc]]) ^ K.U64(SEED)) % K.U64(1_000_000)
+    return (mark.astype(np.int64) - number * examples) % 1_000_000 < examples
+
+
+def train(docs: DataFrame, text: str = "text", size: int = VOCAB, rounds: int = ROUNDS, examples: int | None = None) -> tuple[Vocabulary, Network] | None:
+    """The model after ``rounds`` rounds, each over ``examples`` in a million of the tokens: by default all, once."""
+    examples = -(-1_000_000 // rounds) if examples is None else examples
     sc = docs.sparkSession.sparkContext
     text_batches(docs.sparkSession)
     v = vocabulary(docs, text, size)
@@ -232,8 +255,7 @@ def train(docs: DataFrame, text: str = "text", size: int = VOCAB, rounds: int =
                     token = voc.encode(w)
                     if not len(token):
                         continue
-                    mark = K.mix(np.cumsum(token.astype(np.uint64) + K.U64(1)) ^ K.U64(SEED + number)) % K.U64(1_000_000)
-                    pick = np.flatnonzero(mark < examples)
+                    pick = np.flatnonzero(_turn(w, token, number, examples))
                     waiting.append((_around(w, token, pick), token[pick]))
                     seen += len(pick)
                     size_ += len(pick)

@@ -187,6 +187,33 @@ def test_lm_learns(spark, odd, none):
     assert [tuple(r) for r in lm_score.score(docs.limit(1), None, ["doc_id"]).collect()][0][2] == 0.0
 
 
+def test_lm_learns_from_every_token():
+    import pyarrow as pa
+
+    from recordsieve.llm import textkernel as K
+
+    g = random.Random(3)
+    texts = pa.array([" ".join(g.choice("abcdefgh") for _ in range(n)) for n in (0, 1, 2, 50, 700, 700)] + [None])
+    w = K.words(next(K.slices(texts)), K.WORD_LOWER)
+    token = lm_score.rare_class(w)
+    for rounds in (1, lm_score.ROUNDS, 3):
+        turns = sum(lm_score._turn(w, token, k, -(-1_000_000 // rounds)).astype(int) for k in range(rounds))
+        assert len(turns) == len(token) and (turns == 1).all()
+
+
+def test_lm_learns_by_default(spark):
+    r = random.Random(6)
+    rows = []
+    for d in range(300):
+        w = r.choice("abcdefgh")
+        rows.append((d, " ".join(f"{w}{r.randrange(3)}" for _ in range(60))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    v, net = lm_score.train(docs.where("doc_id < 250"))
+    held = docs.where("doc_id >= 250")
+    learned, plain = (lm_score.score(held, (v, x), ["doc_id"]).selectExpr("sum(pll) / sum(n_tokens)").first()[0] for x in (net, lm_score.Network(v.unigram)))
+    assert learned > plain + 0.3
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as c
     from recordsieve.llm import cluster, decontaminate, ngram_join
