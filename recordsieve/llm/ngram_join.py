@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkernel as K
 from .cluster import arrow_rows, drop, give_back, small, text_batches, written
@@ -493,6 +494,11 @@ def _tile_links(rows: DataFrame, percent: int) -> DataFrame:
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    return _linked(docs, doc_id, text, k, percent)[0]
+
+
+def _linked(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, keyed: bool = False) -> tuple[DataFrame, int]:
+    """link()'s rows and the salt of their nodes; ``keyed`` adds node and label, which no two components share."""
     spark = docs.sparkSession
     text_batches(spark)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -544,27 +550,52 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
 
     of_node = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     smallest = of_node.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_node = written(of_node.join(smallest, "label").select(F.col("node"), "component_id"), "components")
+    keys = ["node", "label"] if keyed else []
+    of_node = written(of_node.join(smallest, "label").select(*(keys or ["node"]), "component_id"), "components")
     drop(spark, spare)
     out = rows.select("doc_id", "n", "node").join(small(of_node), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), *keys), salt
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each group: the one of the smallest id.
 
-    Rows with a null id stay only where no linked row has an id; of rows with one id that stay, one.
+    Rows with a null id stay only where no linked row has an id, and then one of a group. An id on several
+    texts is judged text by text; of rows with one id and no words, one stays.
     """
-    found = written(link(docs, doc_id, text, k, percent), "dedup")
-    gone = found.where(F.col(doc_id).isNotNull() & (F.col(doc_id) != F.col("component_id"))).select(doc_id).distinct()
-    out = docs.join(small(gone), doc_id, "left_anti")
-    named = found.where(F.col(doc_id).isNotNull()).agg(F.count(F.lit(1)), F.count_distinct(F.col(doc_id))).first()
-    if named[0] != named[1]:
-        twice = found.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(doc_id)
-        again = out.join(small(twice), doc_id, "left_semi").dropDuplicates([doc_id])
-        out = out.join(small(twice), doc_id, "left_anti").unionByName(again.select(*out.columns))
-    return out.select(*docs.columns)
+    found, salt = _linked(docs, doc_id, text, k, percent, keyed=True)
+    found = written(found.select(F.col(doc_id).alias("__id"), "node", "label"), "dedup")
+    first = F.min(F.struct(F.col("__id").isNull().alias("absent"), F.col("__id").alias("id"), F.col("node").alias("node"))).alias("first")
+    first = written(found.where("node is not null").groupBy("label").agg(first).select("label", "first.*"), "first").withColumnRenamed("node", "lead")
+    named = found.where("__id is not null").groupBy("__id").agg(F.count(F.lit(1)).alias("c"))
+    twice = written(named.where("c > 1").select("__id"), "twice")
+    # an id on one row tells the row
+    gone = found.where("__id is not null and node is not null").join(small(first), "label").where("absent or __id <> id").select("__id").distinct()
+    several = F.col(doc_id) == F.col("__id")
+    out = docs.join(small(gone.join(small(twice), "__id", "left_anti")), several, "left_anti")
+    if not twice.limit(1).count() and not found.where("__id is null").limit(1).count():
+        return out.select(*docs.columns)
+    alone = out.where(F.col(doc_id).isNotNull()).join(small(twice), several, "left_anti")
+    rest = out.where(F.col(doc_id).isNull()).unionByName(out.join(small(twice), several, "left_semi"))
+    rest = _with_node(rest, text, k, salt)
+    lead = first.join(small(twice), F.col("id") == F.col("__id"), "left_semi").unionByName(first.where("absent")).select(F.col("id").alias("__first"), F.col("lead").alias("__lead"))
+    kept = rest.join(small(lead), (F.col("__node") == F.col("__lead")) & F.col(doc_id).eqNullSafe(F.col("__first")), "left_semi").dropDuplicates(["__node"])
+    blank = rest.where("__node is null")
+    blank = blank.where(F.col(doc_id).isNull()).unionByName(blank.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]))
+    return alone.select(*docs.columns).unionByName(kept.unionByName(blank).select(*docs.columns))
+
+
+def _with_node(docs: DataFrame, text: str, k: int, salt: int) -> DataFrame:
+    """docs and __node, the digest of each row's set, null for an empty one."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            node = [_digest(s, salt)[0] if len(s) else None for s in shingle_sets(b.column(at), k)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node, pa.int64())], names=[*b.schema.names, "__node"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType())]))
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -133,6 +133,29 @@ def test_deduplicate(spark, odd, none):
     assert ngram_join.deduplicate(none).count() == 0
 
 
+def test_deduplicate_by_row(spark):
+    text = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    rows = [
+        (1, text("a"), "one"),
+        (None, text("a") + " tail", "near copy without an id"),
+        (7, text("a"), "copy of 1"),
+        (7, text("b"), "a text of its own under the same id"),
+        (8, text("c"), "one"),
+        (8, text("d"), "another text under one id"),
+        (8, text("d"), "a copy"),
+        (None, text("e"), "no id"),
+        (None, text("e"), "no id, copy"),
+        (9, text("f"), "alone"),
+        (5, None, "blank"),
+        (5, " ", "blank"),
+        (None, "", "blank, no id"),
+        (None, None, "blank, no id"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string").selectExpr("*", "'x' AS id", "'x' AS lead")
+    got = sorted(f"{r['doc_id']} {(r['text'] or '').strip()[:1]}" for r in ngram_join.deduplicate(docs).collect())
+    assert got == sorted(["1 a", "7 b", "8 c", "8 d", "None e", "9 f", "5 ", "None ", "None "])
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (5, 5), (3, 1), (1, 2), (None, 4)] + [(100 + i, 101 + i) for i in range(60)] + [(500, 501 + i) for i in range(50)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
