@@ -1,7 +1,7 @@
 """A training-data pipeline over documents, in stages that are each written and read again.
 
-Toxic documents go, one document of each near-duplicate group stays, documents with passages of
-two benchmark items or more go, what is left is mixed to the sources' targets, and the mixture is
+Toxic documents go, one document of each near-duplicate group stays, documents with a whole window
+of a benchmark item or with passages of two items go, what is left is mixed to the sources' targets, and the mixture is
 sharded. Every stage works on all rows that the one before it kept.
 """
 
@@ -24,7 +24,7 @@ def near_duplicates_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_passages_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs in which windows of fewer than two benchmark items occur."""
+    """docs without a whole window (eight words) of any benchmark item, and without windows of two items or more."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

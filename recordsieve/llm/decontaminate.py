@@ -7,12 +7,14 @@ and a sorted hash array, and verifies each hit against the words themselves, so
 never marks a word.
 
 Defined cases: null or empty texts have no words and no hits; repeated rows are each judged;
-items with null id or without words are ignored; an empty benchmark hits nothing; other columns,
-also such with names of results, are not read by :func:`scan` and are kept by :func:`clean`.
-
-The hash set grows with the benchmark only. Its number of windows is counted first; beyond
-``BROADCAST_WINDOWS`` the benchmark is split by item into broadcasts below that bound, of which a
-worker holds one hash set at a time while it scans a batch.
+items with null id or without words are ignored; ids of any type are carried as text; an empty
+benchmark hits nothing; other columns, also such with names of results, are not read by
+:func:`scan` and are kept by :func:`clean`.
+
+The hash set grows with the benchmark only. Its number of words is counted first; beyond
+``BROADCAST_WINDOWS`` the benchmark is split by item into broadcasts below that bound, which pass the
+driver one at a time. A worker then holds one hash set at a time and ``HELD_BYTES`` of texts, which it
+scans with every set, so a set is built once for that many bytes.
 """
 
 from __future__ import annotations
@@ -32,22 +34,26 @@ from .cluster import text_batches
 WIDTH = 8
 #: Windows in one broadcast hash set (about 100 bytes each with its words).
 BROADCAST_WINDOWS = 1_000_000
+#: Texts that a worker gathers before it goes through several hash sets.
+HELD_BYTES = 64 << 20
 
 HITS = T.StructType([
     T.StructField("n_words", T.LongType()),
     T.StructField("n_hit", T.LongType()),
-    T.StructField("items", T.ArrayType(T.LongType())),
+    T.StructField("whole", T.BooleanType()),
+    T.StructField("items", T.ArrayType(T.StringType())),
     T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
 ])
 
-_HITS_ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.list_(pa.int64())))])
+_HITS_ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("whole", pa.bool_()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int64())))])
 
 
 class HashSet:
     """Windows of the items: by length a bit filter and sorted hashes, and items by exact words."""
 
-    def __init__(self, ids: list[int], texts: list[str], width: int = WIDTH):
-        self.items: dict[bytes, list[int]] = {}
+    def __init__(self, ids: list[str], texts: list[str], width: int = WIDTH):
+        self.width = width
+        self.items: dict[bytes, list[str]] = {}
         lengths: dict[int, set[int]] = {}
         for t in K.slices(pa.array(texts, pa.large_string())):
             w = K.words(t, K.WORD_ALNUM)
@@ -69,7 +75,7 @@ class HashSet:
             f[(s >> K.U64(64 - bits)).astype(np.int64)] = True
             self.sets[k] = (s, f, bits)
 
-    def hits(self, w: K.Words) -> Iterator[tuple[int, int, list[int]]]:
+    def hits(self, w: K.Words) -> Iterator[tuple[int, int, list[str]]]:
         """(first word, end word, items) of every verified occurrence."""
         if not self.sets or not len(w.start):
             return
@@ -91,7 +97,8 @@ def _batch(text: pa.Array, blocks) -> pa.StructArray:
     held = list(K.slices(text))
     starts: list[list[int]] = [[] for _ in held]
     ends: list[list[int]] = [[] for _ in held]
-    found: list[dict[int, set[int]]] = [{} for _ in held]
+    whole: list[set[int]] = [set() for _ in held]
+    found: list[dict[int, set[str]]] = [{} for _ in held]
     for hash_set in blocks():
         for n, t in enumerate(held):
             w = K.words(t, K.WORD_ALNUM)
@@ -99,26 +106,45 @@ def _batch(text: pa.Array, blocks) -> pa.StructArray:
                 starts[n].append(i)
                 ends[n].append(j)
                 found[n].setdefault(int(w.doc[i]), set()).update(items)
+                if j - i == hash_set.width:
+                    whole[n].add(int(w.doc[i]))
     for n, t in enumerate(held):
         w = K.words(t, K.WORD_ALNUM)
         n_words = np.diff(w.first)
         hit = K.cover(np.array(starts[n], np.int64), np.array(ends[n], np.int64), len(w.start))
         for d in range(len(t)):
             if d not in found[n]:
-                out.append({"n_words": int(n_words[d]), "n_hit": 0, "items": [], "spans": []})
+                out.append({"n_words": int(n_words[d]), "n_hit": 0, "whole": False, "items": [], "spans": []})
                 continue
             a, b = w.first[d], w.first[d + 1]
             s, e = K.runs(hit[a:b])
             spans = [[int(w.start[a + x] - t.offsets[d]), int(w.end[a + y - 1] - t.offsets[d])] for x, y in zip(s, e, strict=True)]
-            out.append({"n_words": int(b - a), "n_hit": int(hit[a:b].sum()), "items": sorted(found[n][d]), "spans": spans})
+            out.append({"n_words": int(b - a), "n_hit": int(hit[a:b].sum()), "whole": d in whole[n], "items": sorted(found[n][d]), "spans": spans})
     return pa.array(out, _HITS_ARROW)
 
 
+def _held(batches, at: int, several: bool):
+    """The batches as they come, or, where several hash sets follow each other, gathered to ``HELD_BYTES``."""
+    waiting, size = [], 0
+    for b in batches:
+        waiting.append(b)
+        size += b.column(at).nbytes
+        if not several or size >= HELD_BYTES:
+            yield pa.Table.from_batches(waiting).combine_chunks()
+            waiting, size = [], 0
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
+
 def _broadcast(benchmark: DataFrame, width: int) -> list:
     """The items' texts as broadcasts of at most about BROADCAST_WINDOWS words each."""
     sc = benchmark.sparkSession.sparkContext
     text_batches(benchmark.sparkSession)
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
     n = -(-2 * total // BROADCAST_WINDOWS) if total > BROADCAST_WINDOWS else 1
     out = []
@@ -152,16 +178,24 @@ def scan(docs: DataFrame, benchmark: DataFrame, columns: list[str], text: str =
 
     def run(batches):
         sets = _hash_sets(blocks, width)
-        for b in batches:
-            found = _batch(b.column(len(columns)), sets)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], found], names=[*columns, name])
+        for t in _held(batches, len(columns), len(blocks) > 1):
+            found = _batch(_flat(t.column(len(columns))), sets)
+            yield pa.RecordBatch.from_arrays([*map(_flat, t.columns[:-1]), found], names=[*columns, name])
 
     schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField(name, HITS)])
     return docs.select(*columns, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
+def contaminated(hits, min_items: int = 2) -> bool:
+    """Whether a document goes: a whole window of any item occurs in it, or windows of ``min_items`` items.
+
+    A short item alone, of fewer words than a window, is no reason: its few words stand in clean texts too.
+    """
+    return hits["whole"] or len(hits["items"]) >= min_items
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH, min_items: int = 2, remove: str = "documents") -> DataFrame:
-    """docs without contaminated documents (``min_items`` items occur), or, with remove="spans", without hit spans.
+    """docs without the :func:`contaminated` documents, or, with remove="spans", without hit spans.
 
     All columns of docs are returned as they are; with spans the text column is shortened.
     """
@@ -172,13 +206,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int
 
     def run(batches):
         sets = _hash_sets(blocks, width)
-        for b in batches:
-            found = _batch(b.column(at), sets).to_pylist()
+        for t in _held(batches, at, len(blocks) > 1):
+            column = _flat(t.column(at))
+            found = _batch(column, sets).to_pylist()
             if remove == "documents":
-                yield b.filter(pa.array([len(f["items"]) < min_items for f in found], pa.bool_()))
+                yield from t.filter(pa.array([not contaminated(f, min_items) for f in found], pa.bool_())).to_batches()
                 continue
-            new = [t if not f["spans"] else _cut(t, f["spans"]) for t, f in zip(b.column(at).to_pylist(), found, strict=True)]
-            yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
+            new = [x if not f["spans"] else _cut(x, f["spans"]) for x, f in zip(column.to_pylist(), found, strict=True)]
+            yield from t.set_column(at, t.schema.field(at), pa.array(new, t.schema.field(at).type)).to_batches()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -194,14 +229,13 @@ def _cut(text: str, spans: list[list[int]]) -> str:
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hits = scan(docs, bench, ["doc_id"])
-    ids = F.array_sort(F.transform("hits.items", lambda x: x.cast("string")))
     n = F.size("hits.items").cast("long")
     return hits.select(
         "doc_id",
         F.col("hits.n_words").alias("n_words"),
         F.col("hits.n_hit").alias("n_hit"),
         n.alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        F.sha2(F.array_join(F.array_sort("hits.items"), ","), 256).alias("items_sha256"),
         (n >= 2).alias("contaminated"),
     )
 

@@ -170,14 +170,18 @@ def test_decontamination(spark, odd, none):
     base = "the quick brown fox jumps over the lazy dog while seven wise owls"
     items = spark.createDataFrame([(1, base), (2, "Short Text"), (3, None), (4, "!!!"), (None, base), (10, "日本語"), (1, base)], "item_id long, text string")
     got = {(r["doc_id"], r["hits"]["n_words"]): r["hits"] for r in decontaminate.scan(odd, items, ["doc_id"]).collect()}
-    assert got[(1, 72)]["items"] == [1] and got[(1, 72)]["n_hit"] == 39 and len(got[(1, 72)]["spans"]) == 3
-    assert got[(None, 2)]["items"] == [2] and got[(None, 2)]["n_hit"] == 2
+    assert got[(1, 72)]["items"] == ["1"] and got[(1, 72)]["n_hit"] == 39 and len(got[(1, 72)]["spans"]) == 3
+    assert got[(None, 2)]["items"] == ["2"] and got[(None, 2)]["n_hit"] == 2
     assert got[(3, 0)]["n_hit"] == 0
     text = "x The QUICK brown fox jumps over the lazy dog, y"
     docs = spark.createDataFrame([(1, text), (2, "short text and the quick brown fox jumps over the lazy")], "doc_id long, text string")
     assert [r["text"] for r in decontaminate.clean(docs.where("doc_id = 1"), items, remove="spans").collect()] == ["x , y"]
-    assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [1]
+    assert decontaminate.clean(docs, items).count() == 0  # a whole window of one item; two items
+    short = docs.selectExpr("doc_id", "'just a short text here' AS text").limit(1)
+    assert decontaminate.clean(short, items).count() == 1  # a short item alone
     assert decontaminate.clean(odd, items).columns == odd.columns
+    named = items.selectExpr("concat('item-', item_id) AS item_id", "text")
+    assert decontaminate.scan(docs.where("doc_id = 2"), named, ["doc_id"]).first()["hits"]["items"] == ["item-1", "item-2"]
     assert decontaminate.scan(none, items, ["doc_id"]).count() == 0
     assert decontaminate.clean(odd, items.where("false")).count() == odd.count()
 
@@ -189,6 +193,43 @@ def test_decontamination_in_blocks(spark, sf_dir, monkeypatch):
     assert bag(decontaminate.scan(docs, items, ["doc_id"])) == whole
 
 
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def windows(text, k=8):
+    w = ALNUM.findall(lower(text or ""))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
+def brute_contaminated(texts, items):
+    """Of each text whether it goes: plain sets of 8-grams, and items by their own windows."""
+    grams = {}
+    for i, t in items:
+        w = ALNUM.findall(lower(t or ""))
+        if i is not None and w:
+            grams.setdefault(i, set()).update(windows(t, min(8, len(w))))
+    out = []
+    for text in texts:
+        own = {k: windows(text, k) for k in range(1, 9)}
+        hits = [i for i, g in grams.items() if any(x in own[len(x)] for x in g)]
+        out.append(len(hits) >= 2 or any(len(x) == 8 and x in own[8] for i in hits for x in grams[i]))
+    return out
+
+
+def test_clean_by_brute_force(spark, sf_dir, odd):
+    docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    known = [(r["item_id"], r["text"]) for r in items.collect()]
+    words = next(t for _, t in known if len(ALNUM.findall(t)) >= 12).split()
+    more = spark.createDataFrame([(-1, "x " + " ".join(words[:9]) + " y"), (-2, " ".join(words[:7]) + " y"), (-3, None)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(more)
+    texts = [(r["doc_id"], r["text"]) for r in rows.collect()]
+    gone = brute_contaminated([t for _, t in texts], known)
+    assert any(gone) and not all(gone)
+    want = sorted(d for (d, _), g in zip(texts, gone, strict=True) if not g)
+    assert -1 not in want and -2 in want and -3 in want
+    assert sorted(r["doc_id"] for r in decontaminate.clean(rows, items).collect()) == want
+
+
 # mixing
 
 
