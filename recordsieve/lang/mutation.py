@@ -121,6 +121,6 @@ def _time(raw: str, now: datetime | None) -> str:
         t = temporal.of_datetime(now) if now else temporal.of_datetime(datetime.now().astimezone())
     else:
         t = temporal.parse(text, strict=True)
-        if t is None:
-            raise ExpressionError(f"no RFC 3339 time: {raw!r}")
+        if t is None or not 0 <= temporal.civil(t.seconds)[0] <= 9999:
+            raise ExpressionError(f"no RFC 3339 time of a year from 0 to 9999: {raw!r}")
     return f'"{temporal.utc_text(t)}"'

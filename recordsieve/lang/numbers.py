@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 from functools import lru_cache
 
 NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\Z")
@@ -13,6 +14,11 @@ def is_number(text: str) -> bool:
     return NUMBER.match(text) is not None
 
 
+def _whole(text: str) -> int:
+    """int() of any length: Python refuses texts of several thousand digits."""
+    return int(text) if len(text) < 4000 else int(Decimal(text))
+
+
 @lru_cache(4096)
 def canonical(text: str) -> tuple[int, int, str]:
     """(sign, exponent, digits) of 0.digits * 10**exponent; zero is (0, 0, '')."""
@@ -22,7 +28,7 @@ def canonical(text: str) -> tuple[int, int, str]:
     digits = digits.strip("0")
     if not digits:
         return 0, 0, ""
-    return -1 if sign else 1, len(whole) - lead + int(exponent or 0), digits
+    return -1 if sign else 1, len(whole) - lead + _whole(exponent or "0"), digits
 
 
 def compare(a: str, b: str) -> int:
@@ -35,6 +41,15 @@ def compare(a: str, b: str) -> int:
     return x[0] if x[1:] > y[1:] else -x[0]
 
 
+def floor_at(text: str, scale: int) -> tuple[int, bool]:
+    """The number times 10**scale, rounded down, and whether that is exact. The exponent has to be small."""
+    sign, exponent, digits = canonical(text)
+    upto = exponent + scale
+    whole = _whole(digits[: max(0, upto)].ljust(max(0, upto), "0") or "0")
+    exact = not digits[max(0, upto) :]
+    return (whole if sign > 0 else -whole - (not exact)), exact
+
+
 def as_double(text: str) -> float:
     return float(text)
 

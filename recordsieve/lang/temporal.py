@@ -64,11 +64,19 @@ def equal(a: Temporal, b: Temporal) -> bool:
     return a.day == b.day if a.date_only or b.date_only else a.instant == b.instant
 
 
+def civil(seconds: int) -> tuple[int, int, int, int, int, int]:
+    """Year, month, day, hour, minute and second in UTC of any time, years before 1 and after 9999 included."""
+    days, rest = divmod(seconds, 86400)
+    cycles = (days + _EPOCH - 1) // 146097  # of 400 years
+    at = date.fromordinal(days + _EPOCH - cycles * 146097)
+    return at.year + 400 * cycles, at.month, at.day, rest // 3600, rest // 60 % 60, rest % 60
+
+
 def utc_text(t: Temporal) -> str:
     """RFC 3339 in UTC, the fraction without trailing zeros."""
-    at = datetime(1970, 1, 1) + timedelta(seconds=t.seconds)
+    year, *rest = civil(t.seconds)
     fraction = f".{t.nanos:09d}".rstrip("0") if t.nanos else ""
-    return f"{at.year:04d}-{at:%m-%dT%H:%M:%S}{fraction}Z"
+    return "{:04d}-{:02d}-{:02d}T{:02d}:{:02d}:{:02d}".format(year, *rest) + fraction + "Z"
 
 
 def of_datetime(at: datetime) -> Temporal:

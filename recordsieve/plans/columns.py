@@ -8,9 +8,9 @@ schema, which is finite.
 from __future__ import annotations
 
 from datetime import datetime, timezone
-from decimal import Decimal
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,12 +100,10 @@ def _literal_time(t: temporal.Temporal, kind: T.DataType) -> Column | None:
     """The time as a literal of a timestamp column's type; None if it is finer than microseconds."""
     if t.nanos % 1000:
         return None
-    at = datetime.fromtimestamp(0, timezone.utc)
-    from datetime import timedelta
-
-    at = at + timedelta(seconds=t.seconds, microseconds=t.nanos // 1000)
-    name = "TIMESTAMP_NTZ" if isinstance(kind, T.TimestampNTZType) else "TIMESTAMP"
-    return F.expr(f"{name} '{at:%Y-%m-%d %H:%M:%S.%f}{'' if name.endswith('NTZ') else '+00:00'}'")
+    year, *rest = temporal.civil(t.seconds)
+    name, zone = ("TIMESTAMP_NTZ", "") if isinstance(kind, T.TimestampNTZType) else ("TIMESTAMP", "+00:00")
+    written = f"{year:04d}" if 0 <= year <= 9999 else f"{year:+05d}"
+    return F.expr("{} '{}-{:02d}-{:02d} {:02d}:{:02d}:{:02d}.{:06d}{}'".format(name, written, *rest, t.nanos // 1000, zone))
 
 
 _COMPARE = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b}
@@ -144,36 +142,63 @@ def _time_equal(col, kind, t: temporal.Temporal) -> Column | None:
     return valid & F.when(bare, same_day).otherwise(same)
 
 
+#: Powers of ten beyond which every value of every column type lies on one side.
+_FAR = 400
+
+
 def _number_literal(text: str, kind: T.DataType) -> tuple[Column | None, int]:
-    """The number as a literal of the column's type, and the sign of its distance from the exact number."""
-    sign, exponent, digits = numbers.canonical(text)
+    """The number as a literal of the column's type, and the sign of its distance from the exact number.
+
+    The literal is the type's next value below where there is no equal one; floating columns count as
+    the numbers that their shortest spelling names. None: every value of the type is on one side.
+    """
+    sign, exponent, _ = numbers.canonical(text)
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return F.lit(float(text)).cast(kind), 0
-    if exponent > 40:
+        near = float(text)
+        if isinstance(kind, T.FloatType):
+            with np.errstate(over="ignore"):
+                near = np.float32(near)
+        if not np.isfinite(near):
+            return None, -sign
+        literal = F.lit(float(near))
+        return literal.cast(kind) if isinstance(kind, T.FloatType) else literal, numbers.compare(str(near), text)
+    if exponent > _FAR:
         return None, -sign
-    if exponent < -60:
-        return F.lit(Decimal(0)), -sign
-    exact = Decimal(0 if not sign else sign * int(digits)).scaleb(exponent - len(digits)) if sign else Decimal(0)
+    scale = kind.scale if isinstance(kind, T.DecimalType) else 0
+    floor, exact = numbers.floor_at(text, scale)
     bits = _INTEGERS.get(type(kind))
-    if bits is None:
-        return (F.lit(exact), 0) if len(digits) <= 38 and -38 <= exponent - len(digits) <= 0 or exact == exact.to_integral_value() else (F.lit(exact), 0)
-    floor = int(exact.to_integral_value(rounding="ROUND_FLOOR"))
-    if not -(1 << bits - 1) <= floor < 1 << bits - 1:
+    least, most = (-(1 << bits - 1), (1 << bits - 1) - 1) if bits else (1 - 10**kind.precision, 10**kind.precision - 1)
+    if not least <= floor <= most:
         return None, -sign
-    return F.lit(floor).cast(kind), 0 if floor == exact else -1
+    if bits:
+        return F.lit(floor).cast(kind), 0 if exact else -1
+    digits = f"{abs(floor):0{scale + 1}d}"
+    point = len(digits) - scale
+    value = f"{'-' * (floor < 0)}{digits[:point]}" + (f".{digits[point:]}" if scale else "")
+    return F.lit(value).cast(kind), 0 if exact else -1
+
+
+def _finite(col, kind, name: str) -> Column:
+    """Infinities and NaN, which JSON spells as strings, are no numbers: keep them out of an open side."""
+    most = F.lit(float(np.finfo(np.float32 if isinstance(kind, T.FloatType) else np.float64).max)).cast(kind)
+    return col <= most if name in ("gt", "gte") else col >= -most
 
 
 def _number_bound(col, kind, name: str, text: str) -> Column | None:
     if not isinstance(kind, T.NumericType):
         return _NEVER
+    floating = isinstance(kind, (T.FloatType, T.DoubleType))
     literal, off = _number_literal(text, kind)
     if literal is None:  # beyond the type: every value is on one side
-        return col.isNotNull() if (name in ("gt", "gte")) == (off > 0) else F.lit(False)
-    if off < 0:  # the literal is the next whole number below
+        if (name in ("gt", "gte")) != (off > 0):
+            return F.lit(False)
+        return _finite(col, kind, "gt") & _finite(col, kind, "lt") if floating else col.isNotNull()
+    if off < 0:  # the literal is the next value below
         name = {"gte": "gt", "lt": "lte"}.get(name, name)
     elif off > 0:
         name = {"gt": "gte", "lte": "lt"}.get(name, name)
-    return _COMPARE[name](col, literal)
+    bound = _COMPARE[name](col, literal)
+    return bound & _finite(col, kind, name) if floating else bound
 
 
 def _equal(col, kind, c: Scalar, timed: bool = True) -> Column | None:

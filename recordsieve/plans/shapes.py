@@ -11,6 +11,7 @@ from ..lang.mutation import ADD, REMOVE, SET, Action
 from ..lang.paths import CHILD, DEEP, ELEMENT, MEMBER, Wild
 from ..lang.projection import Projection
 from ..records.reader import quick
+from .columns import _number_literal
 
 
 def project(df: DataFrame, projection: Projection) -> DataFrame:
@@ -77,8 +78,9 @@ def _built(found: list, depth: int) -> list[tuple[str, Column]]:
 def mutate(df: DataFrame, actions: list[Action], when: Column | None = None) -> DataFrame:
     """Rows with the actions applied in order, where ``when`` holds.
 
-    A typed column keeps its type, so a set of another type and a removal under a condition that is not
-    always true belong to the text path and are refused here.
+    A typed column keeps its type. What would need another one is refused here and belongs to the text
+    path: a set of another type or of a number that the type cannot hold, a fractional step of a whole-number column, a
+    step or a number finer than a decimal column's scale, and, under a condition, members that come or go.
     """
     for a in actions:
         df = _one(df, a, when)
@@ -104,6 +106,8 @@ def _one(df: DataFrame, a: Action, when: Column | None) -> DataFrame:
         if name in df.columns:
             kind = df.schema[name].dataType
             new = _changed(F.col(f"`{name}`"), kind, rest, a)
+            if when is not None and df.select(new.alias("_")).schema["_"].dataType.simpleString() != kind.simpleString():
+                raise UnsupportedPath("members cannot come or go in some rows only")
             same = new if when is None else F.when(when, new).otherwise(F.col(f"`{name}`"))
             df = df.withColumn(name, same)
         elif a.kind != REMOVE and not a.wild:
@@ -112,6 +116,16 @@ def _one(df: DataFrame, a: Action, when: Column | None) -> DataFrame:
     return df
 
 
+def _held(number: str, kind: T.DataType) -> Column:
+    """The number as a value of the column's type, if that can hold it."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.lit(float(number)).cast(kind)
+    literal, off = _number_literal(number, kind)
+    if literal is None or off:
+        raise UnsupportedPath(f"a column of type {kind.simpleString()} cannot hold {number}")
+    return literal
+
+
 def _value(a: Action) -> Column:
     found = quick(a.value)
     if isinstance(found, (bool, type(None))) or type(found) is str:
@@ -137,6 +151,8 @@ def _typed(value: Column, a: Action, kind: T.DataType) -> Column:
     )
     if not fits:
         raise UnsupportedPath("a set of another type needs the text path")
+    if isinstance(kind, T.NumericType) and found is not None:
+        return _held(str(found), kind)
     return value.cast(kind)
 
 
@@ -145,7 +161,9 @@ def _end(col: Column, kind: T.DataType, a: Action) -> Column:
         return _typed(_value(a), a, kind)
     if not isinstance(kind, T.NumericType):
         raise RecordError("a step needs a number")
-    return F.coalesce(col + F.lit(a.delta).cast(kind), F.lit(a.delta).cast(kind))
+    step = _held(repr(a.delta), kind)
+    # steps are sums of doubles, as in the text path
+    return F.coalesce((col.cast("double") + F.lit(a.delta)).cast(kind), step)
 
 
 def _changed(col: Column, kind: T.DataType, path, a: Action) -> Column:

@@ -70,51 +70,26 @@ def test_projection():
             program(fields=["/a/0", "/a/x"]).runner()(bad)
 
 
-MUTATIONS = [
-    ('{"a":{"x":{"n":1}}}',['/a/*/**=+1'],'{"a":{"x":{"n":2}}}'),
-    ('{"a":{"x":{"n":1}}}',['/a/*/...=+1'],'{"a":{"x":{"n":2}}}'),
-    ('{"a":{"x":{"n":1}}}',['/a/**/**=+1'],'{"a":{"x":{"n":2}}}'),
-    ('{"b":[1,2]}',['/b/x/*=+1'],'{"b":[1,2]}'),
-    ('{"b":{"b":1}}',['/*/.../b=x'],'{"b":{"b":"x"}}'),
-    ('{"a":[[false,0,null]],"b":[]}',['/*/.../0=x'],'{"a":["x"],"b":[]}'),
-    ('{"b":{"a":false}}',['/.../.../b=x'],'{"b":"x"}'),
-    ('{"b":{}}', ['/b/0/[]=+1'], '{"b":{}}'),
-    ('{"b":{}}', ['/b/0/...=+1'], '{"b":{}}'),
-    ('{"0":{},"a":[{"a":false,"0":""}]}',['/a/0=+1'],'{"0":{},"a":{"0":1}}'),
-    ('{"r":{"x":{"a":"x"}}}',['/.../*/a=null'],'{"r":{"x":{"a":null}}}'),
-    ('{"r":[{"a":"x"}]}',['/.../**/a=null'],'{"r":[{"a":null}]}'),
-    ('{"x":{"z":[1,{"a":2}]}}',['/x/.../*/*=v'],'{"x":{"z":[1,{"a":2}]}}'),
-    ('{"a":0,"b":0}',['/*=1','/a=2'],'{"a":2,"b":1}'),
-    ('{"a":0,"b":0}',['/a=2','/*=1'],'{"a":1,"b":1}'),
-    ('{}',['/a=2','/*=1'],'{"a":1}'),
-    ('{}',['/a=2','rm:/*'],'{}'),
-    ('{"a":{"b":2}}',['/.../*/b=9'],'{"a":{"b":9}}'),
-    ('{"a":{"b":2}}',['/.../*/b++'],'{"a":{"b":3}}'),
-    ('{"a":{"b":2}}',['rm:/.../*/b'],'{"a":{}}'),
-    ('{}',['/a/*=x','/a++'],'{"a":1}'),
-    ('{"r":"x"}',['/**=5','/...=+1'],'{"r":6}'),
-    ('{"a":-1}',['/.../a/1=+1'],'{"a":-1}'),
-    ('{}',['/b=+1','/.../...=5'],'{"b":5}'),
-    ('{"0":[true,{"a":1}]}',['/.../.../[]=5'],'{"0":[5,5]}'),
-    ('{"a":{}}',['/*/x=1','/a/y=2'],'{"a":{"x":1,"y":2}}'),
-    ('{"a":{}}',['rm:/a','/*/x=1'],'{}'),
-    ('{"obj":{"a":1}}',['/obj/.../...++'],'{"obj":{"a":2}}'),
-    ('{"obj":1}',['/obj/.../...++'],'{"obj":1}'),
-    ('{"n":1}',['/n=+2','/n=+3'],'{"n":6}'),
-    ('{"x":1}',['/count=+2','/count=+3'],'{"x":1,"count":5}'),
-    ('{"meta":null}',['/meta/count=+1'],'{"meta":{"count":1}}'),
-    ('{"bench":[{"a":1}]}',['/bench/0/touched=+1'],'{"bench":{"0":{"touched":1}}}'),
-    ('{"bench":[{"touched":1,"old":2},{"touched":3}]}',['rm:/bench/0/touched'],'{"bench":[{"old":2},{"touched":3}]}'),
-    ('{"status":1,"n":1}',['rm:/status','/n=+2','/processed=true'],'{"n":3,"processed":true}'),
-    ('{"s":1}',['/a{/b{/c=1,/d=2},/e=3}'],'{"s":1,"a":{"b":{"c":1,"d":2},"e":3}}'),
-    ('{}',['/empty=','/payload=[1,2]'],'{"empty":"","payload":"[1,2]"}'),
-    ('{"items":[[1,2]]}',['rm:/items[]/0'],'{"items":[[null,2]]}'),
-    ('{}',['/obj/**/n=5'],'{}'),
-    ('{"a":1}',['/a/*/n=x'],'{"a":1}'),
-    ('{"b":{"b":1}}',['/.../b=5'],'{"b":5}'),
-    ('{"a":{"b":[[],[0]]}}',['/a/.../0=5'],'{"a":{"b":[5,[5]]}}'),
-    ('{"a":{"b":[[],[0]]}}',['rm:/a/.../0'],'{"a":{"b":[null,[null]]}}'),
-]
+#: By rule: a record, mutations, and the record that comes of it.
+MUTATIONS = {
+    "steps": [('{"q":4}', "/q++", '{"q":5}'), ('{"q":4}', "/q--", '{"q":3}'), ('{"q":4}', "/q=-3", '{"q":1}'), ('{"q":4}', "/q=+0.5", '{"q":4.5}'), ('{"q":0.1}', "/q=+0.2", '{"q":0.30000000000000004}')],
+    "a missing number starts at the step": [('{"q":4}', "/r=+2.5", '{"q":4,"r":2.5}'), ("{}", "/lamp/watts=-40", '{"lamp":{"watts":-40}}')],
+    "steps of one key add up": [('{"q":4}', "/q=+0.5\n/q=+0.25", '{"q":4.75}')],
+    "removal": [('{"q":4,"r":5}', "rm:/q", '{"r":5}'), ('{"q":4,"r":5}', "remove:/r", '{"q":4}'), ('{"q":4}', "delete:/q", "{}"), ('{"q":{"r":1,"s":2}}', "del:/q/r", '{"q":{"s":2}}'), ('{"q":4}', "rm:/none", '{"q":4}')],
+    "an element that goes leaves null": [('{"l":[7,8,9]}', "rm:/l/1", '{"l":[7,null,9]}'), ('{"l":[{"x":1,"y":2}]}', "rm:/l[]/x", '{"l":[{"y":2}]}')],
+    "kinds of values": [("{}", ["/t=\"7\"", "/u='x y'", "/v=TRUE", "/w=", "/y=abc", "/z=1.50"], '{"t":"7","u":"x y","v":true,"w":"","y":"abc","z":1.50}')],
+    "several in one text": [("{}", "/a=1,/b=2", '{"a":1,"b":2}'), ("{}", "/a=x,y", '{"a":"x,y"}'), ('{"c":3}', "/a=1,rm:/c", '{"a":1}')],
+    "braces prefix paths": [("{}", "/k{/l=1,/m{/n=2}}", '{"k":{"l":1,"m":{"n":2}}}')],
+    "escapes": [("{}", "/sl~1ash=1", '{"sl/ash":1}'), ("{}", "/ti~0lde=2", '{"ti~lde":2}')],
+    "keys keep their places": [('{"d":1,"e":2,"d":3}', "/d=9", '{"d":9,"e":2,"d":9}'), ('{"z":0}', ["/m=1", "/b=2"], '{"z":0,"m":1,"b":2}')],
+    "actions act in order": [('{"p":0,"q":0}', ["/p=4", "/*=7", "/q=5"], '{"p":7,"q":5}'), ('{"p":1}', ["/v=1", "/v=2"], '{"p":1,"v":2}')],
+    "a parent that is no object becomes one": [('{"lamp":[1]}', "/lamp/on=true", '{"lamp":{"on":true}}'), ('{"lamp":"x"}', "/lamp/watts=+40", '{"lamp":{"watts":40}}'), ('{"lamp":null}', "/lamp/a/b=1", '{"lamp":{"a":{"b":1}}}')],
+    "a wildcard makes nothing": [('{"h":3}', ["/h/*=1", "/g/**/x=1", "/h/...=2"], '{"h":3}')],
+    "below a wildcard": [('{"g":{"x":[1,2],"y":3}}', "/g/*/1=8", '{"g":{"x":[1,8],"y":3}}'), ('{"g":{"x":{"n":1},"y":{"n":2}}}', "/g/*/n++", '{"g":{"x":{"n":2},"y":{"n":3}}}'), ('{"rows":[{"v":1},{"v":2},5]}', "/rows[]/v=0", '{"rows":[{"v":0},{"v":0},5]}')],
+    "a leading wildcard may make a member": [('{"c":{"on":1},"d":4}', "/*/off=2", '{"c":{"on":1,"off":2},"d":4}')],
+    "at every depth": [('{"id":1,"sub":{"id":2,"deep":[{"id":3}]}}', "/.../id=0", '{"id":0,"sub":{"id":0,"deep":[{"id":0}]}}'), ('{"id":1,"sub":{"id":2}}', "rm:/.../.../id", '{"sub":{}}')],
+}
+MUTATIONS = [pytest.param(*case, id=f"{rule}: {case[1]}") for rule, cases in MUTATIONS.items() for case in cases]
 
 
 @pytest.mark.parametrize(("record", "mutations", "want"), MUTATIONS)

@@ -1,10 +1,13 @@
 """The typed and the text path agree, and results do not depend on partitions."""
 
 import json
+from decimal import Decimal
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from recordsieve.lang.errors import UnsupportedPath
 from recordsieve.operators import records, typed
 from recordsieve.records.program import program
 from recordsieve.sources import ndjson
@@ -60,6 +63,81 @@ def test_trees_agree(spark, t):
     assert sorted(r["id"] for r in typed.where(rows, s).select("id").collect()) == [k for k, v in text if run(v)[0]]
 
 
+NUMBERS = "id long, i int, l long, d decimal(10,2), w decimal(38,0), x double, f float, ts timestamp, tn timestamp_ntz"
+NUMBER_ROWS = [
+    "(0L, 3, 9007199254740993L, 0.10BD, 99999999999999999999999999999999999999BD, 9007199254740992D, 0.1F, timestamp'0001-01-01 00:00:00', timestamp_ntz'0001-01-01 00:00:00')",
+    "(1L, -2147483648, -9223372036854775808L, -12345678.99BD, -1BD, 0.1D, 3.5F, timestamp'9999-12-31 23:59:59.999999', timestamp_ntz'9999-12-31 23:59:59.999999')",
+    "(2L, 2147483647, 9223372036854775807L, 99999999.99BD, 0BD, 1.7976931348623157E308D, -16777217F, timestamp'2024-02-29 12:00:00', timestamp_ntz'2024-02-29 12:00:00')",
+    "(3L, null, null, null, null, null, null, null, null)",
+    "(4L, 0, 0L, 2.00BD, 1BD, double('NaN'), float('inf'), null, null)",
+    "(5L, 2, 9007199254740992L, 3.01BD, 2BD, double('-inf'), float('NaN'), timestamp'1970-01-01 00:00:00', timestamp_ntz'1970-01-01 00:00:00')",
+    "(6L, -1, -1L, -0.01BD, 4BD, -0.0D, -0.0F, null, null)",
+]
+BOUNDS = ["0", "-0", "0.1", "0.10000000000000001", "0.100000001490116", "3.5", "2.675", "3.005", "-12345678.995", "99999999.991", "1e39", "-1e39", "1e38", "99999999999999999999999999999999999999.5", "9007199254740993", "9007199254740992.5", "2147483647.5", "9223372036854775808", "1e400", "-1e400", "1e-400", "-1e-400", "1e" + "9" * 5000, "-1e-" + "9" * 5000, "1.7976931348623157e308", "1.8e308", "16777217"]
+TIMES = ["0000-01-01", "0001-01-01", "0001-01-01T00:00:00+05:00", "0000-12-31T23:59:59.999999999Z", "9999-12-31T23:59:59-10:00", "9999-12-31", "9999-12-31T23:59:59.9999995Z", "2024-02-29T12:00:00.000000001Z", "2024-02-29"]
+
+
+def _as_json(r):
+    out = {}
+    for k, v in r.asDict().items():
+        if v is None or k == "id":
+            continue
+        if k in ("ts", "tn"):
+            v = json.dumps(v)
+        elif k in ("x", "f") and v in ("NaN", "Infinity", "-Infinity"):
+            v = json.dumps(v)
+        out[k] = v
+    return "{" + ",".join(f'"{k}":{v}' for k, v in out.items()) + "}"
+
+
+def _number_frames(spark):
+    rows = spark.sql(f"select * from values {', '.join(NUMBER_ROWS)} as t({', '.join(c.split()[0] for c in NUMBERS.split(', '))})")
+    rows = rows.selectExpr(*[f"cast({c.split()[0]} as {c.split()[1]}) as {c.split()[0]}" for c in NUMBERS.split(", ")])
+    spelled = rows.selectExpr("id", *[f"cast({c} as string) as {c}" for c in ("i", "l", "d", "w", "x", "f")], "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\") as ts", "date_format(tn, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\") as tn")
+    return rows, [(r["id"], _as_json(r)) for r in spelled.collect()]
+
+
+def test_bounds_agree(spark):
+    rows, text = _number_frames(spark)
+    asked = [f"/{c}{op}{b}" for c in ("i", "l", "d", "w", "x", "f") for op in (">", ">=", "<", "<=", "=") for b in BOUNDS]
+    asked += [f"/{c}{op}{t}" for c in ("ts", "tn") for op in (">", ">=", "<", "<=", "=") for t in TIMES]
+    got = {}
+    for a in range(0, len(asked), 200):
+        part = rows.select("id", *[typed.matched(rows, s).alias(f"c{i}") for i, s in enumerate(asked[a : a + 200])]).collect()
+        for i, s in enumerate(asked[a : a + 200]):
+            got[s] = {r["id"]: r[f"c{i}"] for r in part}
+    for s in asked:
+        run = program(s).runner()
+        assert got[s] == {k: run(v)[0] for k, v in text}, s
+
+
+def test_mutations_agree_or_are_refused(spark):
+    rows = spark.createDataFrame([(1, 3, Decimal("0.10"), 0.1, ("s", 1)), (2, -7, Decimal("5.25"), 2.5, None)], "id long, n int, d decimal(10,2), x double, m struct<st: string, k: int>")
+    asked = ["/n=+1", "/n=+0.5", "/n=2", "/n=2.7", "/n=3000000000", "/d=+0.2", "/d=+0.005", "/d=7.5", "/d=0.005", "/d=1e39", "/x=+0.2", "/x=1e39", "/x=-2.5", "/m/k=+1", "/m/k=+0.5", "/n=x", "/n=null"]
+    refused = set()
+    for m in asked:
+        try:
+            got = typed.mutate(rows, m)
+            assert got.dtypes == rows.dtypes, m
+        except UnsupportedPath:
+            refused.add(m)
+            continue
+        name = m[1]
+        run = program(mutations=m).runner()
+        for r, new in zip(rows.collect(), got.collect(), strict=True):
+            if name == "m" and r["m"] is None:
+                continue  # a missing parent: a struct column stays null
+            before = json.dumps({"n": r["n"], "d": float(r["d"]), "x": r["x"], "m": r["m"] and r["m"].asDict()})
+            want = json.loads(run(before)[1])[name]
+            have = new[name] if name != "m" else new["m"].asDict()
+            assert (float(have) if isinstance(have, Decimal) else have) == (round(want, 2) if name == "d" else want), m
+    assert refused == {"/n=+0.5", "/n=2.7", "/n=3000000000", "/d=+0.005", "/d=0.005", "/d=1e39", "/m/k=+0.5", "/n=x"}
+    for m in ("rm:/m/st", "/m/other=1"):
+        with pytest.raises(UnsupportedPath):
+            typed.mutate(rows, m, "/n=3", matched_only=False)
+        assert typed.mutate(rows, m).count() == 2
+
+
 def test_partitions_do_not_matter(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")
     one = sorted(map(tuple, records.mutate(rows.coalesce(1), ["/k++"], "/k>=50", value="props").collect()))
