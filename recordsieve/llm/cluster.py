@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
 
@@ -16,14 +18,25 @@ BROADCAST_ROWS = 500_000
 TEXT_ROWS = 1500
 
 
+def _libc():
+    """The C library where it can be asked to return freed memory."""
+    found = ctypes.CDLL(None) if sys.platform.startswith("linux") else None
+    return found if hasattr(found, "malloc_trim") else None
+
+
+_LIBC = _libc()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one of a local session without it."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="recordsieve-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -65,8 +78,22 @@ def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
 
 
 def give_back() -> None:
-    """Return freed Arrow buffers of this worker, which is kept for later tasks, to the system."""
+    """Return freed memory of this worker, which is kept for later tasks, to the system."""
     pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def tidy(run):
+    """A function for mapInArrow that returns its freed memory when its task is done."""
+
+    def through(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return through
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:

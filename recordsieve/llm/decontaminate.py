@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .cluster import text_batches
+from .cluster import text_batches, tidy
 
 WIDTH = 8
 #: Windows in one broadcast hash set (about 100 bytes each with its words).
@@ -183,7 +183,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, columns: list[str], text: str =
             yield pa.RecordBatch.from_arrays([*map(_flat, t.columns[:-1]), found], names=[*columns, name])
 
     schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField(name, HITS)])
-    return docs.select(*columns, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col(text).alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def contaminated(hits, min_items: int = 2) -> bool:
@@ -215,7 +215,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int
             new = [x if not f["spans"] else _cut(x, f["spans"]) for x, f in zip(column.to_pylist(), found, strict=True)]
             yield from t.set_column(at, t.schema.field(at), pa.array(new, t.schema.field(at).type)).to_batches()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def _cut(text: str, spans: list[list[int]]) -> str:

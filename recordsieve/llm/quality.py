@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .cluster import small, text_batches, written
+from .cluster import small, text_batches, tidy, written
 
 LEAST_WORDS, REPEAT_PERCENT, RUN = 10, 20, 5
 REACH, LEAST = 6, 50
@@ -89,7 +89,7 @@ def measure(docs: DataFrame, columns: list[str], text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([*b.columns[:k], *(pa.array(g.astype(np.int64)) for g in got)], names=[f"c{i}" for i in range(k)] + STATS)
 
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
-    out = docs.select(*columns, F.col(text).alias("__text")).mapInArrow(run, f"{kinds}, " + ", ".join(f"{s} long" for s in STATS))
+    out = docs.select(*columns, F.col(text).alias("__text")).mapInArrow(tidy(run), f"{kinds}, " + ", ".join(f"{s} long" for s in STATS))
     return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(columns)})
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .cluster import text_batches, written
+from .cluster import text_batches, tidy, written
 
 TRAIN_ROWS = 20_000
 FEATURES = 200_000
@@ -201,14 +201,14 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     ids = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__y"))
     ids = ids.orderBy(F.xxhash64("__id"), "__id").limit(rows)
     taught = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(ids), "__id")
-    taught = taught.mapInArrow(_keyed, "key long, id string, text string, y int").groupBy("key").agg(F.min(F.struct("id", "y", "text")).alias("r"))
+    taught = taught.mapInArrow(tidy(_keyed), "key long, id string, text string, y int").groupBy("key").agg(F.min(F.struct("id", "y", "text")).alias("r"))
     taught = written(taught.select("r.text", "r.y"), "taught")
 
     def count(batches):
         for b in batches:
             yield from _tables(pa.Table.from_batches([b]))
 
-    seen = taught.mapInArrow(count, "f long, p long, a long, b long").groupBy("f").agg(F.min("p").alias("p"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    seen = taught.mapInArrow(tidy(count), "f long, p long, a long, b long").groupBy("f").agg(F.min("p").alias("p"), F.sum("a").alias("a"), F.sum("b").alias("b"))
     found = seen.where(F.col("a") >= LEAST_TOXIC).orderBy(F.desc("a"), "f").limit(FEATURES).collect()
     if not found or not any(r[0] == 0 and r[3] for r in found):
         return none
@@ -220,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             got = [x[:2] for x in _scan(b.column(0), held.value)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.float64()), b.column(1)], names=["n", "best", "y"])
 
-    got = taught.mapInArrow(scan, "n long, best double, y int").toArrow()
+    got = taught.mapInArrow(tidy(scan), "n long, best double, y int").toArrow()
     n, best, y = (got.column(c).to_numpy() for c in range(3))
     if not (y == 1).any() or not (y != 1).any():
         return none
@@ -248,7 +248,7 @@ def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text")
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     results = "n_tokens long, score double, predicted int, passages array<struct<start: long, end: long, score: double, e: double>>"
-    return docs.select(*columns, F.col(text).alias("__text")).mapInArrow(run, f"{kinds}, {results}")
+    return docs.select(*columns, F.col(text).alias("__text")).mapInArrow(tidy(run), f"{kinds}, {results}")
 
 
 def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -264,7 +264,7 @@ def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             n, best = np.array([x[0] for x in got], float), np.array([x[1] for x in got], float)
             yield b.filter(pa.array(m.probability(m.evidence(best, n)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def held_out(doc_id: str = "doc_id"):
