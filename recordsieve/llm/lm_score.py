@@ -1,19 +1,22 @@
 """LM scoring by masked pseudo-likelihood with a bidirectional window network in numpy.
 
-* Vocabulary: the words ([^\\x20\\x09-\\x0D]+, A-Z lowered) of all texts are counted; the ``VOCAB``
-  commonest are tokens, and the rest fall by their first and last bytes and length into ``RARE``
-  classes, each with its words' total count and number of distinct words, so that a rare word's
-  probability is its class's, shared out evenly.
+* Words ([^\\x20\\x09-\\x0D]+, A-Z lowered) of all texts are counted, whole corpus, no cut: the ``VOCAB`` commonest
+  are tokens of their own, every other word is a member of one of ``RARE`` classes by its first and last bytes
+  and length. A rare word's probability is its class's, given the context, times its own share of the class's
+  count in the corpus (add-half, with one place for words never counted).
 * Network: the vectors of the ``SIDE`` tokens on each side of a masked token, each in its own place,
   meet in a tanh layer that predicts the masked token by a two-level softmax (class, then token).
-* Training: every executor task runs stochastic gradient descent over the windows of its own tokens, starting
-  from common weights; the tasks' weights are averaged, weighted by their windows, for ``ROUNDS`` rounds. The
-  rounds share the tokens out by hash, so that every token of every text is learned from once.
+* Training: texts are encoded once as token numbers. Every executor task runs stochastic gradient descent over the
+  windows of its own tokens, starting from common weights; the tasks' weights are averaged, weighted by their
+  windows, for ``ROUNDS`` rounds. The rounds share the tokens out by a hash of the text up to the token, so that
+  every token of every text is learned from once.
 * Score: every token of a whole text is masked in turn; the sum of its conditional log-probabilities
   is the text's pseudo-log-likelihood, and its mean per token the score.
 
-The averaged state has a fixed size (about ``(VOCAB + RARE) * WIDTH * 2`` numbers); tasks' weights are
-summed in the shuffle, part by part, before the driver reads one sum.
+The network has a fixed size (about ``(VOCAB + RARE) * WIDTH * 2`` numbers); tasks' weights are summed part by
+part in two shuffled steps before the driver reads one sum. The word counts grow with the corpus: those of at most
+``KNOWN`` words, the commonest, are broadcast, and the counts of all others meet the texts that hold them in a join.
+Averaged weights depend on how tasks share the rows out; reruns over the same files agree.
 
 Defined cases: null and blank texts have no tokens, a sum of 0 and a null mean; repeated rows are
 each scored (and each counted in training); a corpus without words scores nothing; other columns
@@ -27,16 +30,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .cluster import text_batches, written
+from .cluster import drop, text_batches, tidy, written
 
 VOCAB, RARE, SIDE, WIDTH = 2000, 240, 3, 24
-ROUNDS, BATCH, RATE = 2, 256, 0.05
+ROUNDS, BATCH, RATE = 2, 4096, 0.2
+#: Words whose counts are broadcast at most (12 bytes each).
+KNOWN = 1 << 19
+#: Tokens, in whole texts, that are learned from or scored at a time.
+CHUNK = 1 << 18
 SEED = 11
 _EDGE = 0  # token 0 stands beyond both ends of a text
+_PLACES = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 
 
 def rare_class(w: K.Words) -> np.ndarray:
@@ -48,28 +57,55 @@ def rare_class(w: K.Words) -> np.ndarray:
     return (K.mix(key) % K.U64(RARE)).astype(np.int64)
 
 
+def _find(ordered: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of x in the sorted array, and whether it is there."""
+    if not len(ordered):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    j = np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)
+    return j, ordered[j] == x
+
+
 @dataclass
 class Vocabulary:
-    hashes: np.ndarray  # sorted
+    hashes: np.ndarray  # of the words with a token, sorted
     tokens: np.ndarray  # token of each: 1 ..
-    share: np.ndarray  # log-probability of a token's word given the token: 0, or of a rare class's members
     unigram: np.ndarray
+    known: np.ndarray  # hashes of rare words, sorted
+    known_log: np.ndarray  # log of each one's count and a half
+    class_log: np.ndarray  # log of each rare class's total of those, and one half more for words never counted
+    words: str = ""  # the folder of all counted words (h, n)
+    complete: bool = True  # whether known holds all rare words
 
     @property
     def size(self) -> int:
         return len(self.unigram)
 
-    def encode(self, w: K.Words) -> np.ndarray:
-        h = K.word_hash(w)
-        out = self.size - RARE + rare_class(w)
-        if len(self.hashes) and len(h):
-            j = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            out = np.where(self.hashes[j] == h, self.tokens[j], out)
-        return out
-
-
-def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCAB) -> Vocabulary | None:
-    """Counts all words of all texts."""
+    def encode(self, w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word the token, the log of its share of the token as far as known, its hash, and whether its count is not known."""
+        h, k = K.word_hash(w), rare_class(w)
+        j, common = _find(self.hashes, h)
+        token = (self.size - RARE + k).astype(np.uint16)
+        if common.any():
+            token[common] = self.tokens[j[common]]
+        share, left = np.zeros(len(h)), np.zeros(len(h), bool)
+        at = np.flatnonzero(~common)
+        j, found = _find(self.known, h[at])
+        share[at] = np.where(found, self.known_log[j] if len(self.known) else 0.0, math.log(0.5) if self.complete else 0.0) - self.class_log[k[at]]
+        if not self.complete:
+            left[at[~found]] = True
+        return token, share, h, left
+
+
+def _count_bin(n: F.Column) -> F.Column:
+    """The count cut to its 7 highest bits."""
+    low = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.length(F.bin(n)) - 7)).cast("long")
+    return n - n % low
+
+
+def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCAB, own: list[str] | None = None) -> Vocabulary | None:
+    """Counts all words of all texts. The table of counts stays in the shared folder; ``own`` collects its path."""
+    if size + RARE >= 1 << 16:
+        raise ValueError("tokens are numbers of 16 bits")
 
     def count(batches):
         for b in batches:
@@ -78,23 +114,32 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCAB) -> Vocabu
                 h, first, n = np.unique(K.word_hash(w), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rare_class(w)[first]), pa.array(n)], names=["h", "k", "n"])
 
-    words = docs.select(text).mapInArrow(count, "h long, k long, n long").groupBy("h").agg(F.min("k").alias("k"), F.sum("n").alias("n"))
-    words = written(words, "words")
-    top = words.orderBy(F.desc("n"), "h").limit(size).collect()
-    if not top:
+    found = docs.select(text).mapInArrow(tidy(count), "h long, k long, n long").groupBy("h").agg(F.min("k").alias("k"), F.sum("n").alias("n"))
+    own = [] if own is None else own
+    words = written(found, "words", own)
+    bins = sorted(((r["b"], r["c"]) for r in words.groupBy(_count_bin(F.col("n")).alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
+    if not bins:
         return None
+    least, held = bins[0][0], 0
+    for b, c in bins:
+        if held + c > max(KNOWN, size):
+            break
+        least, held = b, held + c
+    top = words.where(F.col("n") >= least).select("h", "k", "n").toArrow()
+    h, k, n = (top.column(c).to_numpy() for c in range(3))
+    h = h.view(np.uint64)
+    order = np.lexsort((h, -n))
+    h, k, n = h[order], k[order], n[order]
     classes = words.groupBy("k").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).collect()
     count_of, kinds_of = np.zeros(RARE), np.zeros(RARE)
     for r in classes:
         count_of[r["k"]], kinds_of[r["k"]] = r["n"], r["d"]
-    for r in top:
-        count_of[r["k"]] -= r["n"]
-        kinds_of[r["k"]] -= 1
-    h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(h)
-    unigram = np.concatenate([[0.0], [r["n"] for r in top], count_of]) + 0.5
-    share = np.concatenate([np.zeros(1 + len(top)), -np.log(kinds_of + 1)])
-    return Vocabulary(h[order], 1 + order, share, unigram / unigram.sum())
+    np.subtract.at(count_of, k[:size], n[:size])
+    np.subtract.at(kinds_of, k[:size], 1)
+    unigram = np.concatenate([[0.0], n[:size], count_of]) + 0.5
+    common, rare = np.argsort(h[:size]), size + np.argsort(h[size:])
+    class_log = np.log(count_of + 0.5 * (kinds_of + 1))
+    return Vocabulary(h[common], (1 + common).astype(np.uint16), unigram / unigram.sum(), h[rare], np.log(n[rare] + 0.5), class_log, own[-1], len(h) == sum(c for _, c in bins))
 
 
 class Network:
@@ -132,62 +177,81 @@ class Network:
             a += p.size
         return self
 
+    def _hidden(self, placed: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """tanh layer of examples; ``placed`` holds every token's part of it in every place, ``key`` the rows to add up."""
+        h = placed[key[:, 0]]
+        h += self.b
+        for k in range(1, 2 * SIDE):
+            h += placed[key[:, k]]
+        return np.tanh(h, out=h)
+
+    def _keys(self, around: np.ndarray) -> np.ndarray:
+        return around.astype(np.int32) + (np.arange(2 * SIDE, dtype=np.int32) * len(self.e))
+
+    def _by_class(self, token: np.ndarray):
+        """The order of examples by class, their classes, and (class, from, to) of each run."""
+        cls = token // self.m
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        cls = cls[order].astype(np.int64)
+        first = np.flatnonzero(np.diff(cls, prepend=-1))
+        return order, cls, list(zip(cls[first].tolist(), first.tolist(), [*first[1:].tolist(), len(cls)], strict=True))
+
+    def _inner(self, h: np.ndarray, runs) -> np.ndarray:
+        """Logits of the tokens in each example's class; examples lie by class."""
+        z = np.empty((len(h), self.m), h.dtype)
+        for c, a, b in runs:
+            np.matmul(h[a:b], self.o[c].T, out=z[a:b])
+            z[a:b] += self.c[c]
+        return z
+
     def log_probability(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Of each token, given the (n, 2 * SIDE) tokens around it."""
-        placed = [self.e @ w for w in self.w]
+        placed = np.matmul(self.e, self.w).reshape(-1, WIDTH)
         out = np.empty(len(token), np.float32)
-        for a in range(0, len(token), 1 << 15):
-            at, t = around[a : a + (1 << 15)], token[a : a + (1 << 15)]
-            h = placed[0][at[:, 0]] + self.b
-            for k in range(1, 2 * SIDE):
-                h += placed[k][at[:, k]]
-            h = np.tanh(h)
-            cls = t // self.m
-            got = _log_softmax(h @ self.k.T + self.d)[np.arange(len(t)), cls]
-            order = np.argsort(cls, kind="stable")
-            cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-            for c in range(self.classes):
-                i = order[cuts[c] : cuts[c + 1]]
-                if len(i):
-                    got[i] += _log_softmax(h[i] @ self.o[c].T + self.c[c])[np.arange(len(i)), t[i] % self.m]
-            out[a : a + (1 << 15)] = got
+        for a in range(0, len(token), 1 << 12):
+            t = token[a : a + (1 << 12)]
+            order, cls, runs = self._by_class(t)
+            h = self._hidden(placed, self._keys(around[a : a + (1 << 12)][order]))
+            row = np.arange(len(t))
+            out[a + order] = _log_softmax_at(h @ self.k.T + self.d, row, cls) + _log_softmax_at(self._inner(h, runs), row, t[order] % self.m)
         return out
 
     def gradients(self, around: np.ndarray, token: np.ndarray) -> list[np.ndarray]:
         """Of the mean negative log-probability, in the order of parts()."""
-        n = len(token)
-        cls = token // self.m
-        order = np.argsort(cls, kind="stable")
-        around, token, cls = around[order], token[order], cls[order]
-        row = np.arange(n)
-        x = self.e[around].reshape(n, -1)
-        w = self.w.reshape(-1, WIDTH)
-        h = np.tanh(x @ w + self.b)
+        n, row = len(token), np.arange(len(token))
+        order, cls, runs = self._by_class(token)
+        token, key = token[order], self._keys(around[order])
+        h = self._hidden(np.matmul(self.e, self.w).reshape(-1, WIDTH), key)
         z = _softmax(h @ self.k.T + self.d)
         z[row, cls] -= 1
         z /= n
         dk, dd, dh = z.T @ h, z.sum(0), z @ self.k
-        do, dc = np.zeros_like(self.o), np.zeros_like(self.c)
-        own = self.o[cls]
-        z = _softmax((own @ h[:, :, None])[:, :, 0] + self.c[cls])
+        z = _softmax(self._inner(h, runs))
         z[row, token % self.m] -= 1
         z /= n
-        dh += (z[:, None, :] @ own)[:, 0]
-        first = np.flatnonzero(np.diff(cls, prepend=-1))  # rows lie by class
-        for c, a, b in zip(cls[first].tolist(), first.tolist(), [*first[1:].tolist(), n], strict=True):
-            do[c] = z[a:b].T @ h[a:b]
-        dc[cls[first]] = np.add.reduceat(z, first)
+        do, dc = np.zeros_like(self.o), np.zeros_like(self.c)
+        for c, a, b in runs:
+            np.matmul(z[a:b].T, h[a:b], out=do[c])
+            dh[a:b] += z[a:b] @ self.o[c]
+            dc[c] = z[a:b].sum(0)
         da = dh * (1 - h * h)
-        dw = (x.T @ da).reshape(self.w.shape)
-        at = (around.ravel()[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-        de = np.bincount(at, weights=(da @ w.T).ravel(), minlength=self.e.size).astype(np.float32).reshape(self.e.shape)
-        return [de, dw, da.sum(0), dk, dd, do, dc]
+        # the parts of one token in one place are added up before they go back through the layer
+        key = key.ravel()
+        by_key = np.argsort(key.astype(np.uint16) if len(self.e) * 2 * SIDE < 1 << 16 else key, kind="stable")
+        key = key[by_key]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        placed = np.zeros((2 * SIDE * len(self.e), WIDTH), h.dtype)
+        placed[key[first]] = np.add.reduceat(da[by_key // (2 * SIDE)], first, axis=0)
+        placed = placed.reshape(2 * SIDE, -1, WIDTH)
+        de = np.matmul(placed, self.w.transpose(0, 2, 1)).sum(0)
+        return [de, np.matmul(self.e.T, placed), da.sum(0), dk, dd, do, dc]
 
     def learn(self, around: np.ndarray, token: np.ndarray, squares: list[np.ndarray]) -> None:
         """One Adagrad step."""
         for p, g, s in zip(self.parts(), self.gradients(around, token), squares, strict=True):
-            s += g * g
-            root = np.sqrt(s)
+            root = g * g
+            s += root
+            np.sqrt(s, out=root)
             root += 1e-4
             g /= root
             g *= RATE
@@ -195,139 +259,219 @@ class Network:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
     z /= z.sum(1, keepdims=True)
     return z
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def _log_softmax_at(z: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-probability at one place of each row."""
+    z -= z.max(1, keepdims=True)
+    got = z[row, at]
+    np.exp(z, out=z)
+    return got - np.log(z.sum(1))
 
 
-def _around(w: K.Words, token: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of the words ``at`` the tokens on both sides; places beyond a text hold the edge."""
-    around = np.empty((len(at), 2 * SIDE), np.int64)
-    doc = w.doc[at]
-    first, last = w.first[doc], w.first[doc + 1]
-    for k, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        j = at + d
-        inside = (j >= first) & (j < last)
-        around[:, k] = np.where(inside, token[np.where(inside, j, at)], _EDGE)
-    return around
+def _chunks(column: pa.Array):
+    """(first row, tokens, offsets of the texts) of runs of whole encoded texts."""
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.empty(0, np.uint8)
+    flat = data[off[0] : off[-1]].copy().view(np.uint16)
+    off = (off - off[0]) // 2
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(off, off[a] + CHUNK, "right")) - 1)
+        yield a, flat[off[a] : off[b]], off[a : b + 1] - off[a]
+        a = b
 
 
-def _turn(w: K.Words, token: np.ndarray, number: int, examples: int) -> np.ndarray:
-    """Whether a round learns from each word: rounds take successive slices of marks that hang on a text's words alone."""
+def _padded(token: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' tokens with ``SIDE`` edges before each and after the last, and each token's place there."""
+    at = np.arange(len(token)) + SIDE * (1 + np.repeat(np.arange(len(off) - 1), np.diff(off)))
+    out = np.full(len(token) + SIDE * len(off), _EDGE, np.uint16)
+    out[at] = token
+    return out, at
+
+
+def _around(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The tokens on both sides of the places."""
+    out = np.empty((len(at), 2 * SIDE), np.uint16)
+    for k, d in enumerate(_PLACES.tolist()):
+        out[:, k] = padded[at + d]
+    return out
+
+
+def _turn(token: np.ndarray, off: np.ndarray, number: int, examples: int) -> np.ndarray:
+    """Whether a round learns from each token: rounds take successive slices of marks that hang on a text's tokens alone."""
     total = np.append(K.U64(0), np.cumsum(token.astype(np.uint64) + K.U64(1)))
-    mark = K.mix((total[1:] - total[w.first[w.doc]]) ^ K.U64(SEED)) % K.U64(1_000_000)
+    mark = K.mix((total[1:] - np.repeat(total[off[:-1]], np.diff(off))) ^ K.U64(SEED)) % K.U64(1_000_000)
     return (mark.astype(np.int64) - number * examples) % 1_000_000 < examples
 
 
-def train(docs: DataFrame, text: str = "text", size: int = VOCAB, rounds: int = ROUNDS, examples: int | None = None) -> tuple[Vocabulary, Network] | None:
-    """The model after ``rounds`` rounds, each over ``examples`` in a million of the tokens: by default all, once."""
+def encode(docs: DataFrame, v: Vocabulary, columns: list[str], text: str = "text") -> DataFrame:
+    """Of every row the given columns (as c0, c1 ..), a row number, its words, the sum of their shares, token numbers, and hashes whose counts are not known."""
+    held = docs.sparkSession.sparkContext.broadcast(v)
+    k = len(columns)
+
+    def run(batches):
+        voc, number = held.value, TaskContext.get().partitionId() << 40
+        for b in batches:
+            for t in K.slices(b.column(k)):
+                w = K.words(t, K.WORD_LOWER)
+                token, share, h, left = voc.encode(w)
+                off = pa.array((2 * w.first).astype(np.int32)).buffers()[1]
+                tokens = pa.Array.from_buffers(pa.binary(), len(t), [None, off, pa.py_buffer(token.tobytes())])
+                gone = np.append(0, np.cumsum(left))[w.first]
+                tails = pa.ListArray.from_arrays(pa.array(gone.astype(np.int32)), pa.array(h[left].view(np.int64)))
+                cols = [c.slice(t.first_row, len(t)) for c in b.columns[:k]]
+                row = pa.array(np.arange(number, number + len(t)))
+                number += len(t)
+                sums = pa.array(np.bincount(w.doc, weights=share, minlength=len(t)).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([*cols, row, pa.array(np.diff(w.first)), sums, tokens, tails], names=[*(f"c{i}" for i in range(k)), "row", "n", "share", "tokens", "tail"])
+
+    kinds = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(columns))
+    return docs.select(*columns, F.col(text).alias("__text")).mapInArrow(tidy(run), f"{kinds}row long, n long, share double, tokens binary, tail array<long>")
+
+
+def learn(encoded: DataFrame, v: Vocabulary, rounds: int = ROUNDS, examples: int | None = None) -> Network:
+    """The network after ``rounds`` rounds, each over ``examples`` in a million of the tokens: by default all, once."""
     examples = -(-1_000_000 // rounds) if examples is None else examples
-    sc = docs.sparkSession.sparkContext
-    text_batches(docs.sparkSession)
-    v = vocabulary(docs, text, size)
-    if v is None:
-        return None
     net = Network(v.unigram)
     for number in range(rounds):
-        held = sc.broadcast((v, net))
+        held = encoded.sparkSession.sparkContext.broadcast((v.unigram, net.flat()))
 
         def run(batches, held=held, number=number):
-            voc, start = held.value
-            own = Network(voc.unigram).load(start.flat())
-            seen, waiting, size_ = 0, [], 0
+            unigram, start = held.value
+            own = Network(unigram).load(start)
+            seen, waiting, size = 0, [], 0
             squares = [np.full_like(p, 1e-6) for p in own.parts()]
 
-            def step():
+            def steps():
                 around, token = np.concatenate([x[0] for x in waiting]), np.concatenate([x[1] for x in waiting])
                 order = np.random.default_rng(SEED + number).permutation(len(token))
-                for a in range(0, len(order), BATCH):
-                    own.learn(around[order[a : a + BATCH]], token[order[a : a + BATCH]], squares)
+                for part in np.array_split(order, -(-len(order) // BATCH)):
+                    own.learn(around[part], token[part], squares)
                 waiting.clear()
 
             for b in batches:
-                for t in K.slices(b.column(0)):
-                    w = K.words(t, K.WORD_LOWER)
-                    token = voc.encode(w)
-                    if not len(token):
+                for _, token, off in _chunks(b.column(0)):
+                    pick = np.flatnonzero(_turn(token, off, number, examples))
+                    if not len(pick):
                         continue
-                    pick = np.flatnonzero(_turn(w, token, number, examples))
-                    waiting.append((_around(w, token, pick), token[pick]))
+                    padded, at = _padded(token, off)
+                    waiting.append((_around(padded, at[pick]), token[pick]))
                     seen += len(pick)
-                    size_ += len(pick)
-                    if size_ >= 1 << 15:
-                        step()
-                        size_ = 0
+                    size += len(pick)
+                    if size >= CHUNK // 2:
+                        steps()
+                        size = 0
             if waiting:
-                step()
+                steps()
             if seen:
                 x = own.flat().astype(np.float64) * seen
                 width = 1024
                 rows = -(-len(x) // width)
                 x = np.pad(x, (0, rows * width - len(x))).reshape(rows, width)
+                salt = TaskContext.get().partitionId() % 64
                 for a in range(0, rows, 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, min(a + 64, rows))), pa.array([float(seen)] * len(x[a : a + 64])), pa.array(list(x[a : a + 64]), pa.list_(pa.float64()))], names=["part", "seen", "x"])
+                    part = x[a : a + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(part))), pa.array([salt] * len(part), pa.int64()), pa.array([float(seen)] * len(part)), pa.array(list(part), pa.list_(pa.float64()))], names=["part", "salt", "seen", "x"])
 
-        got = docs.select(text).mapInArrow(run, "part long, seen double, x array<double>")
+        got = encoded.select("tokens").mapInArrow(tidy(run), "part long, salt long, seen double, x array<double>")
         net = _averaged(got, net, v) or net
-    return v, net
+    return net
 
 
 def _averaged(rows: DataFrame, net: Network, v: Vocabulary) -> Network | None:
-    """The weighted mean of the tasks' weights: vectors of one part are summed after a shuffle, in tasks by part."""
+    """The weighted mean of the tasks' weights: vectors of a part are summed by groups of tasks, then over the groups."""
 
     def add(batches):
-        total: dict[int, np.ndarray] = {}
-        weight: dict[int, float] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
+        weight: dict[tuple[int, int], float] = {}
         for b in batches:
-            for part, seen, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                total[part] = total.get(part, 0.0) + x.values.to_numpy()
-                weight[part] = weight.get(part, 0.0) + seen
-        parts = sorted(total)
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([weight[p] for p in parts], pa.float64()), pa.array([total[p] for p in parts], pa.list_(pa.float64()))], names=["part", "seen", "x"])
-
-    summed = rows.repartition("part").mapInArrow(add, "part long, seen double, x array<double>").toArrow()
+            for part, salt, seen, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                total[part, salt] = total.get((part, salt), 0.0) + x.values.to_numpy()
+                weight[part, salt] = weight.get((part, salt), 0.0) + seen
+        keys = sorted(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([weight[k] for k in keys], pa.float64()), pa.array([total[k] for k in keys], pa.list_(pa.float64()))],
+            names=["part", "salt", "seen", "x"],
+        )
+
+    schema = "part long, salt long, seen double, x array<double>"
+    groups = rows.repartition("part", "salt").mapInArrow(tidy(add), schema)
+    summed = groups.withColumn("salt", F.lit(0).cast("long")).repartition("part").mapInArrow(tidy(add), schema).toArrow()
     if not summed.num_rows:
         return None
     order = np.argsort(summed.column(0).to_numpy())
-    seen = summed.column(1).to_numpy()[order]
-    x = np.stack([np.asarray(p) for p in summed.column(2).to_pylist()])[order]
+    seen = summed.column(2).to_numpy()[order]
+    x = np.stack([np.asarray(p) for p in summed.column(3).to_pylist()])[order]
     flat = (x / seen[:, None]).ravel()[: sum(p.size for p in net.parts())]
     return Network(v.unigram).load(flat.astype(np.float32))
 
 
+def train(docs: DataFrame, text: str = "text", size: int = VOCAB, rounds: int = ROUNDS, examples: int | None = None) -> tuple[Vocabulary, Network] | None:
+    """The model of all texts, or None for a corpus without words."""
+    text_batches(docs.sparkSession)
+    v = vocabulary(docs, text, size)
+    if v is None:
+        return None
+    own: list[str] = []
+    net = learn(written(encode(docs, v, [], text), "encoded", own), v, rounds, examples)
+    drop(docs.sparkSession, own)
+    return v, net
+
+
 def score(docs: DataFrame, model: tuple[Vocabulary, Network] | None, columns: list[str], text: str = "text") -> DataFrame:
     """The given columns with n_tokens, pll (sum of masked log-probabilities) and mean_pll of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    text_batches(docs.sparkSession)
+    if model is None:  # no words were counted, so none is likely
+        none = F.lit(0.0)
+        return docs.select(*columns, F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_tokens"), none.alias("pll"), F.lit(None).cast("double").alias("mean_pll"))
+    return _scored(written(encode(docs, model[0], columns, text), "encoded"), model, columns)
+
+
+def _scored(encoded: DataFrame, model: tuple[Vocabulary, Network], columns: list[str]) -> DataFrame:
+    v, net = model
+    held = encoded.sparkSession.sparkContext.broadcast((v.unigram, net.flat()))
     k = len(columns)
     names = [f"c{i}" for i in range(k)]
 
     def run(batches):
-        got = held.value
+        unigram, weights = held.value
+        own = Network(unigram).load(weights)
         for b in batches:
-            n, s = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for t in K.slices(b.column(k)):
-                if got is None:
-                    continue
-                v, net = got
-                w = K.words(t, K.WORD_LOWER)
-                token = v.encode(w)
-                at = slice(t.first_row, t.first_row + len(t))
-                n[at] = np.diff(w.first)
+            s = b.column(k + 2).to_numpy().copy()
+            for first, token, off in _chunks(b.column(k + 3)):
                 if len(token):
-                    lp = net.log_probability(_around(w, token, np.arange(len(token))), token) + v.share[token]
-                    s[at] = np.bincount(w.doc, weights=lp, minlength=len(t))
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(n), pa.array(s), pa.array(s / np.maximum(n, 1), mask=n == 0)], names=[*names, "n_tokens", "pll", "mean_pll"])
-
-    kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
-    out = docs.select(*columns, F.col(text).alias("__text")).mapInArrow(run, f"{kinds}, n_tokens long, pll double, mean_pll double")
+                    padded, at = _padded(token, off)
+                    lp = own.log_probability(_around(padded, at), token)
+                    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+                    s[first : first + len(off) - 1] += np.bincount(doc, weights=lp, minlength=len(off) - 1)
+            yield pa.RecordBatch.from_arrays([*b.columns[: k + 2], pa.array(s)], names=[*names, "row", "n_tokens", "pll"])
+
+    kinds = "".join(f"{f} {encoded.schema[f].dataType.simpleString()}, " for f in names)
+    out = encoded.drop("tail").mapInArrow(tidy(run), f"{kinds}row long, n_tokens long, pll double")
+    if not v.complete:
+        # words beyond the broadcast meet their counts; none of them is common
+        counts = encoded.sparkSession.read.schema("h long, k long, n long").parquet(v.words).select("h", "n")
+        tails = encoded.select("row", F.explode("tail").alias("h")).join(counts, "h", "left")
+        tails = tails.groupBy(F.col("row").alias("__row")).agg(F.sum(F.log(F.coalesce("n", F.lit(0)) + 0.5)).alias("__more"))
+        out = out.join(tails, F.col("row") == F.col("__row"), "left").withColumn("pll", F.col("pll") + F.coalesce("__more", F.lit(0.0)))
+    out = out.select(*names, "n_tokens", "pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("mean_pll"))
     return out.withColumnsRenamed(dict(zip(names, columns, strict=True)))
 
 
+def fit_and_score(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """:func:`score` under the model of the same texts, which are encoded once."""
+    text_batches(docs.sparkSession)
+    v = vocabulary(docs, text)
+    if v is None:
+        return score(docs, None, columns, text)
+    encoded = written(encode(docs, v, columns, text), "encoded")
+    return _scored(encoded, (v, learn(encoded, v)), columns)
+
+
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, train(docs), ["doc_id"])
+    return fit_and_score(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])

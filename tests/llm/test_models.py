@@ -2,8 +2,10 @@
 
 import math
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from recordsieve.llm import html_extract, lm_score, toxicity
@@ -121,6 +123,25 @@ def test_html_pages(spark):
     assert html_extract.extract(pages.where("false"), ["page_id"]).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<p>When <math><mi>x</mi></math> is small, all is well.</p>", ["When x is small, all is well."]),
+        ("<noscript><p>Shown without scripts.</p></noscript><p>Shown always.</p>", ["Shown without scripts.", "Shown always."]),
+        ("<object><p>In place of an object.</p></object>", ["In place of an object."]),
+        ("<p>Before <svg><title>icon</title><path d=x></svg>after</p><p>next</p>", ["Before after", "next"]),
+        ("<p>one</p><svg><g><p>two</p><p>three</p>", ["one", "two", "three"]),
+        ("<p>one<svg><path></p><p>two</p>", ["one", "two"]),
+        ("<div><template><p>never</div><p>two</p>", ["two"]),
+        ("<div><svg><style>never{}</style><text>drawn</text></svg></div><p>two</p>", ["drawn", "two"]),
+        ("<p>a<script>never</script>b</p><style>never</style>c<!-- never -->d", ["a", "b", "cd"]),
+        ("<svg/><math/><p>two</p><template/><p>three", ["two", "three"]),
+    ],
+)
+def test_html_loses_no_text(html, want):
+    assert [t for _, t, _ in html_extract.blocks(html)] == want
+
+
 def test_query_on_pages(spark, sf_dir):
     import re
     from html import unescape
@@ -166,48 +187,103 @@ def test_lm_gradients():
         assert d[i] == pytest.approx((up - down) / 2e-2, rel=0.1, abs=1e-3)
 
 
-def test_lm_learns(spark, odd, none):
-    r = random.Random(6)
-    chains = {w: [f"{w}{k}" for k in range(3)] for w in "abcdefgh"}
+def chained(r, n):
     rows = []
-    for d in range(300):
+    for d in range(n):
         w = r.choice("abcdefgh")
-        rows.append((d, " ".join(r.choice(chains[w]) for _ in range(60))))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    v, net = lm_score.train(docs.where("doc_id < 250"), examples=500_000)
-    held = docs.where("doc_id >= 250")
-    learned = lm_score.score(held, (v, net), ["doc_id"]).selectExpr("sum(pll) / sum(n_tokens)").first()[0]
-    plain = lm_score.score(held, (v, lm_score.Network(v.unigram)), ["doc_id"]).selectExpr("sum(pll) / sum(n_tokens)").first()[0]
-    assert learned > plain + 0.3
-    mixed = spark.createDataFrame([(d, " ".join(r.choice(r.choice(list(chains.values()))) for _ in range(60))) for d in range(30)], "doc_id long, text string")
-    assert lm_score.score(mixed, (v, net), ["doc_id"]).selectExpr("avg(mean_pll)").first()[0] < learned - 0.3
-    got = lm_score.score(odd, (v, net), ["doc_id"]).collect()
-    assert len(got) == odd.count() and all((r["mean_pll"] is None) == (r["n_tokens"] == 0) for r in got)
+        rows.append((d, " ".join(f"{w}{r.randrange(3)}" for _ in range(60))))
+    return rows
+
+
+def test_lm_cases(spark, odd, none):
+    r = random.Random(6)
+    docs = spark.createDataFrame(chained(r, 250), "doc_id long, text string")
+    v, net = model = lm_score.train(docs)
+    learned = lm_score.score(docs, model, ["doc_id"]).selectExpr("avg(mean_pll)").first()[0]
+    mixed = spark.createDataFrame([(d, " ".join(f"{r.choice('abcdefgh')}{r.randrange(3)}" for _ in range(60))) for d in range(30)], "doc_id long, text string")
+    assert lm_score.score(mixed, model, ["doc_id"]).selectExpr("avg(mean_pll)").first()[0] < learned - 0.3
+    got = lm_score.score(odd, model, ["doc_id"]).collect()
+    assert len(got) == odd.count() and all((x["mean_pll"] is None) == (x["n_tokens"] == 0) for x in got)
     assert lm_score.train(none) is None
-    assert [tuple(r) for r in lm_score.score(docs.limit(1), None, ["doc_id"]).collect()][0][2] == 0.0
+    assert lm_score.fit_and_score(none, ["doc_id"]).count() == 0
+    assert [(x["n_tokens"], x["pll"]) for x in lm_score.score(docs.limit(1), None, ["doc_id"]).collect()] == [(60, 0.0)]
 
 
-def test_lm_learns_from_every_token():
-    import pyarrow as pa
+def brute_pll(texts, v, net, counts, classes):
+    """The pseudo-log-likelihood of each text, word by word in float64, with softmaxes over whole classes."""
+    from recordsieve.llm import textkernel as K
+
+    out = []
+    for text in texts:
+        words = [x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        token, share = [], 0.0
+        for x in words:
+            w = K.words(next(K.slices(pa.array([x.decode()]))), K.WORD_LOWER)
+            h, k = int(K.word_hash(w)[0]), int(lm_score.rare_class(w)[0])
+            at = np.flatnonzero(v.hashes == np.uint64(h))
+            token.append(int(v.tokens[at[0]]) if len(at) else v.size - lm_score.RARE + k)
+            if not len(at):
+                share += math.log((counts.get(x, 0) + 0.5) / (sum(n for y, n in counts.items() if classes[y] == k) + 0.5 * (1 + sum(c == k for c in classes.values()))))
+        total = share
+        for i, t in enumerate(token):
+            a = net.b.astype(np.float64)
+            for place, d in enumerate([-3, -2, -1, 1, 2, 3]):
+                other = token[i + d] if 0 <= i + d < len(token) else 0
+                a = a + net.e[other].astype(np.float64) @ net.w[place].astype(np.float64)
+            hidden = np.tanh(a)
+            z = net.k @ hidden + net.d
+            y = net.o[t // net.m] @ hidden + net.c[t // net.m]
+            total += z[t // net.m] - np.log(np.exp(z).sum()) + y[t % net.m] - np.log(np.exp(y).sum())
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("known", [lm_score.KNOWN, 12])
+def test_lm_brute_force(spark, known, monkeypatch):
+    """Every text's score against word-by-word sums, with all counts broadcast and with most of them joined."""
+    from collections import Counter
 
     from recordsieve.llm import textkernel as K
 
-    g = random.Random(3)
-    texts = pa.array([" ".join(g.choice("abcdefgh") for _ in range(n)) for n in (0, 1, 2, 50, 700, 700)] + [None])
-    w = K.words(next(K.slices(texts)), K.WORD_LOWER)
-    token = lm_score.rare_class(w)
+    monkeypatch.setattr(lm_score, "KNOWN", known)
+    r = random.Random(9)
+    texts = [t for _, t in chained(r, 40)] + [" ".join(r.choice("xyz") + str(r.randrange(300)) for _ in range(30)) for _ in range(20)] + ["never", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    v, net = lm_score.train(docs, size=12)
+    assert v.complete == (known > 12)
+    counts = Counter(x.encode() for t in texts for x in t.split())
+    rare = {}
+    for x in counts:
+        w = K.words(next(K.slices(pa.array([x.decode()]))), K.WORD_LOWER)
+        if int(K.word_hash(w)[0]) not in set(v.hashes.tolist()):
+            rare[x] = int(lm_score.rare_class(w)[0])
+    texts.append("a0 unheard words x5")
+    more = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [x["pll"] for x in sorted(lm_score.score(more, (v, net), ["doc_id"]).collect())]
+    assert got == pytest.approx(brute_pll(texts, v, net, {x: counts[x] for x in rare}, rare), rel=1e-4, abs=1e-3)
+
+
+def test_lm_tells_texts_that_occur_twice(spark):
+    """Rare words are weighed by their own counts: a text that stands twice is likelier than one that stands once."""
+    r = random.Random(12)
+    texts = [" ".join("".join(r.choice("etaonishr") for _ in range(7)) for _ in range(80)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:20])), "doc_id long, text string")
+    got = {x["doc_id"]: x["mean_pll"] for x in lm_score.fit_and_score(docs, ["doc_id"]).collect()}
+    assert min(got[d] for d in range(20)) > max(got[d] for d in range(20, 60))
+
+
+def test_lm_learns_from_every_token():
+    g = np.random.default_rng(3)
+    lengths = np.array([0, 1, 2, 50, 700, 700, 0])
+    off = np.append(0, np.cumsum(lengths))
+    token = g.integers(0, 9, off[-1]).astype(np.uint16)
     for rounds in (1, lm_score.ROUNDS, 3):
-        turns = sum(lm_score._turn(w, token, k, -(-1_000_000 // rounds)).astype(int) for k in range(rounds))
+        turns = sum(lm_score._turn(token, off, k, -(-1_000_000 // rounds)).astype(int) for k in range(rounds))
         assert len(turns) == len(token) and (turns == 1).all()
 
 
 def test_lm_learns_by_default(spark):
-    r = random.Random(6)
-    rows = []
-    for d in range(300):
-        w = r.choice("abcdefgh")
-        rows.append((d, " ".join(f"{w}{r.randrange(3)}" for _ in range(60))))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame(chained(random.Random(6), 300), "doc_id long, text string")
     v, net = lm_score.train(docs.where("doc_id < 250"))
     held = docs.where("doc_id >= 250")
     learned, plain = (lm_score.score(held, (v, x), ["doc_id"]).selectExpr("sum(pll) / sum(n_tokens)").first()[0] for x in (net, lm_score.Network(v.unigram)))
