@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from datetime import datetime, timezone
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,6 +101,42 @@ _typed("or_mode", "orders", '/o_orderstatus="P"\n/o_totalprice<5000', "o_orderke
 _typed("not", "orders", "not.range{f=/o_totalprice,gte=50000}", "o_orderkey", "NOT coalesce(o_totalprice >= 50000, false)")
 _typed("indexed_groups", "orders", "or.0.eq{f=/o_orderstatus,v=F},or.0.range{f=/o_totalprice,gt=200000},or.1.eq{f=/o_orderstatus,v=O},or.1.range{f=/o_totalprice,lt=20000}", "o_orderkey", "(o_orderstatus = 'F' AND o_totalprice > 200000) OR (o_orderstatus = 'O' AND o_totalprice < 20000)")
 
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with a boolean, a column that is often null, and an exact price."""
+    o, price = _table(spark, sf_dir, "orders"), F.col("o_totalprice")
+    return o.select("o_orderkey", (price > 150000).alias("big"), F.when(F.col("o_orderstatus") != "F", F.lit(1)).alias("note"), price.cast("decimal(12,2)").alias("price"))
+
+
+@_query("typed_eq_bool", "SELECT o_orderkey FROM orders WHERE o_totalprice > 150000")
+def typed_eq_bool(spark, sf_dir):
+    return typed.where(_facts(spark, sf_dir), "/big=true").select("o_orderkey")
+
+
+@_query("text_eq_bool", "SELECT o_orderkey FROM orders WHERE NOT (o_totalprice > 150000)")
+def text_eq_bool(spark, sf_dir):
+    return records.select(ndjson.of_rows(_facts(spark, sf_dir), "o_orderkey"), "/big=false").select("o_orderkey")
+
+
+@_query("text_eq_null", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+def text_eq_null(spark, sf_dir):
+    return records.select(ndjson.of_rows(_facts(spark, sf_dir), "o_orderkey"), "/note=null").select("o_orderkey")
+
+
+@_query("typed_range_decimal", "SELECT o_orderkey FROM orders WHERE CAST(o_totalprice AS DECIMAL(12,2)) > 150000.00 AND CAST(o_totalprice AS DECIMAL(12,2)) < 300000")
+def typed_range_decimal(spark, sf_dir):
+    return typed.where(_facts(spark, sf_dir), "range{f=/price,gte=150000.005,lt=3e5},/price<1e39").select("o_orderkey")
+
+
+@_query("json_export", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND (o_totalprice >= 100000.5 OR o_orderpriority = '1-URGENT')")
+def json_export(spark, sf_dir):
+    from .lang import selector as s
+
+    exported = s.to_json(s.parse('/o_orderstatus="F",or.range{f=/o_totalprice,gte=100000.5},or.eq{f=/o_orderpriority,v=1-URGENT}'))
+    return typed.where(_table(spark, sf_dir, "orders"), s.from_json(exported)).select("o_orderkey")
+
+
 # paths
 _nested("member", '/meta/sale/priority="1-URGENT"', "o_orderpriority = '1-URGENT'")
 _nested("elements", '/items[]/l_returnflag="R"', "EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'R')")
@@ -130,9 +169,13 @@ def builder_selector(spark, sf_dir):
 _PROPS = "CAST(json_extract(props, '$.k') AS INTEGER)"
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ndjson.spread(_table(spark, sf_dir, "events").select("event_id", "props"))
+
+
 @_query("json_text_range", f"SELECT event_id FROM events WHERE {_PROPS} >= 90")
 def json_text_range(spark, sf_dir):
-    return records.select(_table(spark, sf_dir, "events").select("event_id", "props"), "/k>=90", value="props").select("event_id")
+    return records.select(_events(spark, sf_dir), "/k>=90", value="props").select("event_id")
 
 
 @_query("json_text_udf", f"SELECT event_id FROM events WHERE {_PROPS} = 7")
@@ -142,46 +185,89 @@ def json_text_udf(spark, sf_dir):
 
 @_query("json_text_decisions", f"SELECT event_id, {_PROPS} < 10 AS matched FROM events")
 def json_text_decisions(spark, sf_dir):
-    return records.decisions(_table(spark, sf_dir, "events").select("event_id", "props"), "/k<10", value="props").select("event_id", "matched")
+    return records.decisions(_events(spark, sf_dir), "/k<10", value="props", keep=["event_id"])
 
 
 @_query("json_text_project", f"SELECT event_id, {_PROPS} AS k FROM events WHERE {_PROPS} >= 50")
 def json_text_project(spark, sf_dir):
-    got = records.project(_table(spark, sf_dir, "events").select("event_id", "props"), ["/k"], "/k>=50", value="props")
+    got = records.project(_events(spark, sf_dir), ["/k"], "/k>=50", value="props")
     return got.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
 @_query("json_text_mutate", f"SELECT event_id, {_PROPS} + 5 AS k, 'seen' AS state FROM events WHERE {_PROPS} >= 50")
 def json_text_mutate(spark, sf_dir):
-    got = records.mutate(_table(spark, sf_dir, "events").select("event_id", "props"), ["/k=+5", "/state=seen"], "/k>=50", value="props")
+    got = records.mutate(_events(spark, sf_dir), ["/k=+5", "/state=seen"], "/k>=50", value="props")
     return got.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.get_json_object("props", "$.state").alias("state"))
 
 
 @_query("json_text_mutate_all", f"SELECT event_id, CASE WHEN {_PROPS} >= 50 THEN {_PROPS} + 5 ELSE {_PROPS} END AS k FROM events")
 def json_text_mutate_all(spark, sf_dir):
-    got = records.mutate(_table(spark, sf_dir, "events").select("event_id", "props"), ["/k=+5"], "/k>=50", value="props", matched_only=False)
+    got = records.mutate(_events(spark, sf_dir), ["/k=+5"], "/k>=50", value="props", matched_only=False)
     return got.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
 @_query("json_text_remove", f"SELECT event_id, CAST(NULL AS VARCHAR) AS k, '2' AS n FROM events WHERE {_PROPS} < 50")
 def json_text_remove(spark, sf_dir):
-    got = records.mutate(_table(spark, sf_dir, "events").select("event_id", "props"), ["/n++", "rm:/k", "/n++"], "/k<50", value="props")
+    got = records.mutate(_events(spark, sf_dir), ["/n++", "rm:/k", "/n++"], "/k<50", value="props")
     return got.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.n").alias("n"))
 
 
 @_query("json_text_project_mutate", f"SELECT event_id, {_PROPS} AS k, true AS flag FROM events WHERE {_PROPS} = 1 UNION ALL SELECT event_id, {_PROPS}, NULL FROM events WHERE {_PROPS} <> 1")
 def json_text_project_mutate(spark, sf_dir):
-    rows = _table(spark, sf_dir, "events").select("event_id", "props")
+    rows = _events(spark, sf_dir)
     got = records.output(rows, program("/k=1", fields=["/k"], mutations=["/flag=true"], matched_only=False), "props")
     return got.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.get_json_object("props", "$.flag").cast("boolean").alias("flag"))
 
 
 @_query("json_text_time", f"SELECT event_id, '1996-07-01T12:00:00Z' AS at FROM events WHERE {_PROPS} = 3")
 def json_text_time(spark, sf_dir):
-    got = records.mutate(_table(spark, sf_dir, "events").select("event_id", "props"), ["time:/at=NOW"], "/k=3", value="props", now=NOW)
+    got = records.mutate(_events(spark, sf_dir), ["time:/at=NOW"], "/k=3", value="props", now=NOW)
     return got.select("event_id", F.get_json_object("props", "$.at").alias("at"))
 
 
+@_query("json_text_file", f"SELECT event_id, 'two\nlines' AS note, 'AAH/' AS raw FROM events WHERE {_PROPS} = 3")
+def json_text_file(spark, sf_dir):
+    with tempfile.TemporaryDirectory() as folder:  # read here, before any record
+        Path(folder, "note.txt").write_text("two\nlines")
+        Path(folder, "raw.bin").write_bytes(b"\x00\x01\xff")
+        got = records.mutate(_events(spark, sf_dir), ["textfile:/note=note.txt", "base64file:/raw=raw.bin"], "/k=3", value="props", files=True, folder=folder)
+    return got.select("event_id", F.get_json_object("props", "$.note").alias("note"), F.get_json_object("props", "$.raw").alias("raw"))
+
+
+@_query("sql_project_mutate", f"SELECT event_id, {_PROPS} AS k, {_PROPS} + 1 AS more FROM events WHERE {_PROPS} < 20")
+def sql_project_mutate(spark, sf_dir):
+    udfs.register(spark)
+    rows = _events(spark, sf_dir).where(F.expr("record_matches(props, '/k<20')"))
+    rows = rows.select("event_id", F.expr("record_project(props, '/k')").alias("p"), F.expr("record_mutate(props, '/k++')").alias("m"))
+    return rows.select("event_id", F.get_json_object("p", "$.k").cast("int").alias("k"), F.get_json_object("m", "$.k").cast("int").alias("more"))
+
+
+@_query("sql_frames", f"SELECT event_id, n AS record_index, CASE n WHEN 0 THEN {_PROPS} ELSE event_id END AS k FROM events, (VALUES (0), (1)) t(n) WHERE {_PROPS} = 5")
+def sql_frames(spark, sf_dir):
+    udfs.register(spark)
+    rows = records.select(_events(spark, sf_dir), "/k=5", value="props")
+    texts = rows.withColumn("text", F.concat("props", F.lit('\n\n{"k":\n'), "event_id", F.lit("\n}\n")))
+    texts.createOrReplaceTempView("__texts")
+    out = spark.sql("SELECT t.event_id, f.record_index, f.value FROM __texts t, LATERAL record_frames(t.text) f")
+    return out.select("event_id", "record_index", F.get_json_object("value", "$.k").cast("long").alias("k"))
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new name in the folder that executors share, or a local one for a local session."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    return f"{shared.rstrip('/')}/recordsieve-records-{uuid.uuid4().hex}"
+
+
+@_query("text_framed", f"SELECT event_id, {_PROPS} AS k FROM events WHERE {_PROPS} >= 50")
+def text_framed(spark, sf_dir):
+    """Records over several lines, read back from files in splits."""
+    path = _folder(spark)
+    k = F.get_json_object("props", "$.k")
+    _events(spark, sf_dir).select(F.concat(F.lit('{"event_id": '), "event_id", F.lit(',\n  "s": "}{",\n\n "k": ['), k, F.lit("]\n}\n"))).write.text(path)
+    got = records.select(ndjson.framed(spark, path), "/k[]>=50")
+    return got.select(F.get_json_object("value", "$.event_id").cast("long").alias("event_id"), F.get_json_object("value", "$.k[0]").cast("int").alias("k"))
+
+
 # counts and counters
 @_query("typed_count", "SELECT count(*) AS matches FROM lineitem WHERE l_returnflag = 'R'")
 def typed_count(spark, sf_dir):
@@ -190,7 +276,7 @@ def typed_count(spark, sf_dir):
 
 @_query("text_count", f"SELECT count(*) AS matches FROM events WHERE {_PROPS} >= 90")
 def text_count(spark, sf_dir):
-    return records.count(_table(spark, sf_dir, "events").select("props"), "/k>=90", value="props")
+    return records.count(_events(spark, sf_dir), "/k>=90", value="props")
 
 
 @_query("typed_counters", "SELECT count(*) AS seen, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS matched FROM orders")
@@ -200,7 +286,7 @@ def typed_counters(spark, sf_dir):
 
 @_query("text_counters", f"SELECT count(*) AS seen, CAST(count(*) FILTER ({_PROPS} = 5) AS BIGINT) AS matched, CAST(sum(strlen(props)) AS BIGINT) AS bytes FROM events")
 def text_counters(spark, sf_dir):
-    return records.counters(_table(spark, sf_dir, "events").select("props"), "/k=5", value="props")
+    return records.counters(_events(spark, sf_dir), "/k=5", value="props")
 
 
 @_query("typed_decisions", "SELECT o_orderkey, coalesce(o_totalprice > 150000, false) AS matched FROM orders")
@@ -214,6 +300,11 @@ def typed_project(spark, sf_dir):
     return typed.project(_table(spark, sf_dir, "orders"), ["/o_orderpriority", "/o_orderkey", "/o_custkey"], "/o_orderstatus!=F")
 
 
+@_query("typed_project_mutate", "SELECT o_orderkey, o_custkey + 1 AS o_custkey, true AS done FROM orders WHERE o_orderstatus = 'F'")
+def typed_project_mutate(spark, sf_dir):
+    return typed.project_mutate(_table(spark, sf_dir, "orders"), ["/o_orderkey", "/o_custkey"], ["/o_custkey++", "/done=true"], '/o_orderstatus="F"')
+
+
 @_query("typed_project_nested", "SELECT o_orderkey, o_totalprice AS total, (SELECT l_quantity FROM lineitem l WHERE l.l_orderkey = o.o_orderkey ORDER BY l_linenumber, l_quantity LIMIT 1) AS first FROM orders o")
 def typed_project_nested(spark, sf_dir):
     o = _orders_with_items(spark, sf_dir).withColumn("items", F.sort_array("items"))
@@ -239,6 +330,11 @@ def typed_mutate_step(spark, sf_dir):
     return typed.mutate(_table(spark, sf_dir, "lineitem"), ["/l_linenumber=+10", "/l_quantity=-2.5"]).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
+@_query("typed_mutate_step_fraction", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(12,2)) + 0.25 AS DOUBLE) AS price FROM orders")
+def typed_mutate_step_fraction(spark, sf_dir):
+    return typed.mutate(_facts(spark, sf_dir), "/price=+0.25").select("o_orderkey", F.col("price").cast("double").alias("price"))
+
+
 @_query("typed_mutate_remove", "SELECT o_orderkey, o_custkey FROM orders")
 def typed_mutate_remove(spark, sf_dir):
     return typed.mutate(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["rm:/o_orderstatus"])
@@ -275,11 +371,22 @@ def typed_max_matches(spark, sf_dir):
 
 @_query("text_max_matches", f"SELECT event_id FROM events WHERE {_PROPS} >= 50 ORDER BY event_id LIMIT 25")
 def text_max_matches(spark, sf_dir):
-    rows = _table(spark, sf_dir, "events").select("event_id", "props")
+    rows = _events(spark, sf_dir)
     return records.limited(rows, program("/k>=50"), "event_id", "props", max_matches=25)[0].select("event_id")
 
 
 @_query("text_max_bytes", f"SELECT event_id FROM (SELECT *, sum(strlen(props) + 1) OVER (ORDER BY event_id) - strlen(props) - 1 AS before FROM events) WHERE before < 3000 AND {_PROPS} >= 50")
 def text_max_bytes(spark, sf_dir):
-    rows = _table(spark, sf_dir, "events").select("event_id", "props")
+    rows = _events(spark, sf_dir)
     return records.limited(rows, program("/k>=50"), "event_id", "props", max_bytes=3000)[0].select("event_id")
+
+
+@_query(
+    "text_limit_precedence",
+    f"""WITH e AS (SELECT event_id, strlen(props) + 1 AS size, {_PROPS} >= 50 AS hit, sum(strlen(props) + 1) OVER (ORDER BY event_id) AS upto, sum(CASE WHEN {_PROPS} >= 50 THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS hits FROM events),
+    s AS (SELECT 'match' AS reason, 0 AS rank, min(event_id) + 1 AS stop FROM e WHERE hits = 20 UNION ALL SELECT 'record', 1, 60 UNION ALL SELECT 'byte', 2, min(event_id) + 1 FROM e WHERE upto >= 2000),
+    f AS (SELECT reason, stop FROM s WHERE stop IS NOT NULL ORDER BY stop, rank LIMIT 1)
+    SELECT count(*) AS seen, CAST(count(*) FILTER (hit) AS BIGINT) AS matched, CAST(sum(size) AS BIGINT) AS bytes, reason FROM e, f WHERE event_id < stop GROUP BY reason""",
+)
+def text_limit_precedence(spark, sf_dir):
+    return records.limited(_events(spark, sf_dir), program("/k>=50"), "event_id", "props", max_records=60, max_matches=20, max_bytes=2000)[1]

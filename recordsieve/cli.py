@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import argparse
-import os
+import re
 import sys
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -39,8 +38,31 @@ def _inputs(words: list[str], mutating: bool) -> tuple[list[str], list[str]]:
     return words, []
 
 
+#: The spellings of true and false that flags take.
+_TRUE, _FALSE = ("true", "True", "TRUE", "t", "T", "1"), ("false", "False", "FALSE", "f", "F", "0")
+_FLAG = re.compile(r"(--(?:inline|write|enable-file-mutations|compact|or|matches-only|count)|-[iwFcOM])=(.*)", re.S)
+
+
+def _flags(argv: list[str]) -> list[str]:
+    """Flags with a truth value, as --or=false, spelled as bare flags or left out; the last of a flag holds."""
+    out: list[str] = []
+    for word in argv:
+        found = _FLAG.fullmatch(word)
+        if not found:
+            out.append(word)
+            continue
+        if found[2] not in (*_TRUE, *_FALSE):
+            raise SieveError(f"no truth value: {word}")
+        out = [w for w in out if w != found[1]] + [found[1]] * (found[2] in _TRUE)
+    return out
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:
-    a = parser().parse_args(argv)
+    try:
+        a = parser().parse_args(_flags(sys.argv[1:] if argv is None else argv))
+    except SieveError as e:
+        print(f"recordsieve: {e}", file=sys.stderr)
+        return 1
     out = out or sys.stdout
     try:
         if a.theme:
@@ -56,11 +78,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         if a.inline:
             engine.rewrite_file(files[0], request)
             return 0
-        temp = None
-        if not files:
-            with tempfile.NamedTemporaryFile("wb", suffix=".ndjson", delete=False) as held:
-                held.write(sys.stdin.buffer.read())
-                temp = held.name
+        temp = None if files else ndjson.spooled(spark, sys.stdin.buffer)
         try:
             if a.count:
                 out.write(f"{engine.count(files or [temp], request)}\n")
@@ -75,7 +93,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
                 raise SieveError("no records to change")
         finally:
             if temp:
-                os.unlink(temp)
+                ndjson.delete(spark, temp)
     except SieveError as e:
         print(f"recordsieve: {e}", file=sys.stderr)
         return 1

@@ -39,9 +39,13 @@ class Engine:
         self.clock = clock
 
     def read(self, path: str, line_framed: bool = False, on_error: str = "raise") -> DataFrame:
-        """Rows (record_index, value); ``line_framed`` asserts one record a line and reads in parallel."""
+        """Rows (record_index, value); ``line_framed`` asserts one record a line, which saves a pass."""
         return ndjson.lines(self.spark, path) if line_framed else ndjson.framed(self.spark, path, on_error)
 
+    def read_from(self, source, line_framed: bool = False, on_error: str = "raise") -> DataFrame:
+        """As :meth:`read`, of anything with ``read(size) -> bytes``; what it gives is first put where all executors can read it."""
+        return self.read(ndjson.spooled(self.spark, source), line_framed, on_error)
+
     def request(self, where="", fields=(), mutations=(), **how) -> Program:
         return program(where, fields=fields, mutations=mutations, now=how.pop("now", self.clock() if self.clock else None), **how)
 
@@ -51,7 +55,7 @@ class Engine:
         return lines, Result(**stats.first().asDict())
 
     def count(self, paths: list[str], request: Program, line_framed: bool = False) -> int:
-        return sum(records.evaluated(self.read(p, line_framed), request).agg(F.count_if("matched")).first()[0] for p in paths)
+        return sum(records.decided(self.read(p, line_framed), request, keep=[]).agg(F.count_if("matched")).first()[0] for p in paths)
 
     def lines(self, path: str, request: Program, **limits) -> Iterator[str]:
         return ndjson.ordered(self.run(path, request, **limits)[0])
@@ -62,7 +66,8 @@ class Engine:
         An answer of False stops after that record, with reason "callback"; a true ``cancelled()`` before the next
         record, with reason "cancelled".
         """
-        rows = records.evaluated(self.read(path, line_framed), request).select("record_index", "matched", "output", F.octet_length("value").alias("size"))
+        rows = self.read(path, line_framed).withColumn("size", F.octet_length("value"))
+        rows = records.evaluated(rows, request, keep=["record_index", "size"])
         result = Result(0, 0, 0, records.STOP_NONE)
         for r in rows.orderBy("record_index").toLocalIterator():
             if cancelled and cancelled():

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..records import reader
 from ..records.program import program
 
 
@@ -47,8 +48,18 @@ def _each(kind: str, part: int, values: pd.Series, texts: pd.Series) -> pd.Serie
     return pd.Series([None if v is None or t is None else _runner(kind, t)(v)[part] for v, t in zip(values, texts, strict=True)], dtype=object)
 
 
+@F.udtf(returnType="record_index int, value string")
+class RecordFrames:
+    """The strict records of a text, which may fill several lines each."""
+
+    def eval(self, text: str):
+        if text is not None:
+            yield from enumerate(reader.frames(text))
+
+
 def register(spark: SparkSession) -> None:
-    """SQL functions record_matches(value, selector), record_project(value, paths), record_mutate(value, mutations)."""
+    """SQL functions record_matches(value, selector), record_project(value, paths), record_mutate(value, mutations), and the table function record_frames(text)."""
+    spark.udtf.register("record_frames", RecordFrames)
 
     @F.pandas_udf("boolean")
     def record_matches(values: pd.Series, texts: pd.Series) -> pd.Series:

@@ -59,6 +59,11 @@ def mutate(df: DataFrame, mutations: list[str] | str, expression: str | Selector
     return shapes.mutate(hit, actions, F.col("__hit")).drop("__hit")
 
 
+def project_mutate(df: DataFrame, paths: list[str], mutations: list[str] | str, expression: str | Selector = "", now: datetime | None = None) -> DataFrame:
+    """The paths of matching rows, and the actions on what was projected; the selection is on the row as it was."""
+    return shapes.mutate(project(df, paths, expression), mutation.parse(mutations, now))
+
+
 def limited(df: DataFrame, expression: str | Selector, order: list[str], max_records: int | None = None, max_matches: int | None = None, **how) -> DataFrame:
     """Matching rows of the first ``max_records`` rows by the order, at most ``max_matches`` of them.
 

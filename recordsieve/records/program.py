@@ -22,6 +22,11 @@ class Program:
     matched_only: bool = True
     now: datetime | None = None
 
+    def decider(self):
+        """A function from a record's text to whether it matches."""
+        test = matching.compiled(self.where, self.now)
+        return lambda text: test(reader.quick(text))
+
     def runner(self):
         """A function from a record's text to (matched, output or None)."""
         test = matching.compiled(self.where, self.now)

@@ -10,6 +10,7 @@ from recordsieve import cli
 from recordsieve.engine import Engine, capabilities
 from recordsieve.functions import udfs
 from recordsieve.lang.errors import RecordError, SieveError
+from recordsieve.records import reader
 from recordsieve.records.program import program
 from recordsieve.sources import ndjson
 from recordsieve.streaming import micro
@@ -75,6 +76,60 @@ def test_lines_have_indexes(spark, tmp_path):
     assert [r["value"] for r in rows] == [f'{{"n":{i}}}' for i in range(5000)]
 
 
+def _framed(spark, text, split, **how):
+    """What framed() reads of a text in splits of so many bytes, and what one reader makes of it."""
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        for name in ("a", "b"):
+            with open(os.path.join(folder, name), "wb") as f:
+                f.write(text.encode())
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            rows = ndjson.framed(spark, folder, **how).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    found = {}
+    for r in sorted(rows, key=lambda r: (r["path"], r["record_index"])):
+        found.setdefault(r["path"][-1], []).append((r["record_index"], r["value"]))
+    assert not found or found["a"] == found["b"]
+    return found.get("a", [])
+
+
+@pytest.mark.parametrize("split", [41, 1 << 20])
+def test_framed_in_splits(spark, split):
+    import json
+    import random
+
+    r = random.Random(split)
+    out = []
+    for i in range(25):
+        record = {"i": i, "s": r.choice(['"{[', "}]", "\\", "\u2028é"]) * r.randint(0, 4), "l": [[]] * r.randint(0, 3), "o": {"x": {}}}
+        out.append(r.choice([json.dumps(record, ensure_ascii=False), json.dumps(record, indent=1), json.dumps(record, indent=3, ensure_ascii=False).replace("\n", "\r\n"), "  7 ", '"}"', "null"]))
+        out += [r.choice(["", " \t"])] * r.randint(0, 2)
+    text = "\n".join(out) + r.choice(["", "\n"])
+    assert _framed(spark, text, split) == list(enumerate(reader.frames(text)))
+    assert _framed(spark, "\n \n", split) == [] == _framed(spark, "", split)
+
+
+@pytest.mark.parametrize("split", [16])
+@pytest.mark.parametrize("bad", ["{,}", "[2]", '{"a":1} {"b":2}', '{"a":\n', '{"open":"', "}", '{"x":1}}'])
+def test_framed_stops(spark, split, bad):
+    text = '{"a":1}\n{"b":\n[2]}\n\n' + bad + '\n{"c":3}\n'
+    got = _framed(spark, text, split, on_error="stop")
+    assert got[:2] == [(0, '{"a":1}'), (1, '{"b":\n[2]}')] and got[2:] == [(2, None)]
+    with pytest.raises(Exception, match="RecordError"):
+        _framed(spark, text, split)
+
+
+def test_reader_source(spark):
+    e = Engine(spark)
+    rows = e.read_from(io.BytesIO(TEXT.encode()))
+    assert [r["value"] for r in rows.orderBy("record_index").collect()] == list(reader.frames(TEXT))
+
+
 def test_malformed(spark, tmp_path):
     p = tmp_path / "bad"
     p.write_text('{"a":1}\n[2]\n{"a":3}\n')
@@ -132,3 +187,23 @@ def test_clock(spark, tmp_path):
     e = Engine(spark, clock=lambda: datetime(2024, 3, 1, 12, tzinfo=timezone.utc))
     assert e.count([str(p)], e.request("date{f=/t,since=today}")) == 1
     assert e.count([str(p)], e.request("date{f=/t,since=yesterday}")) == 2
+
+
+def test_flags():
+    assert cli._flags(["--or=true", "--count=F", "-M=1", "/a=true"]) == ["--or", "-M", "/a=true"]
+    assert cli._flags(["-O", "-O=0", "--inline=T"]) == ["--inline"]
+    with pytest.raises(SieveError):
+        cli._flags(["--or=yes"])
+
+
+def test_rewrite_is_locked(tmp_path):
+    p = tmp_path / "held"
+    p.write_text("1\n")
+
+    def lines():
+        with pytest.raises(RecordError):
+            ndjson.rewrite(str(p), iter(["3"]))
+        yield "2"
+
+    ndjson.rewrite(str(p), lines())
+    assert p.read_text() == "2\n"
