@@ -10,8 +10,9 @@ footers, side bars, notices, adverts, forms, comments around articles, in semant
 markup, with unclosed elements), from a fixed seed; ``train`` takes other labelled pages as well.
 
 Defined cases: null or empty html and pages without text give the empty text; text outside any
-element is a block; scripts, styles, templates and markup comments are never blocks; character
-references are decoded once; white space of any kind inside a block becomes one space; blocks of
+element is a block; scripts, styles, templates, the metadata of drawings and markup comments are
+never text, and end with the element around them at the latest; formulas and drawings are inline, and what
+noscript, object and iframe hold is read like any other block; character references are decoded once; white space of any kind inside a block becomes one space; blocks of
 any length are read whole; repeated rows give equal texts; other columns are not read.
 """
 
@@ -29,13 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .cluster import text_batches
+from .cluster import text_batches, tidy
 
-TRAIN_PAGES, EPOCHS, HIDDEN, SEED = 600, 8, 16, 7
+TRAIN_PAGES, EPOCHS, HIDDEN, SEED = 900, 8, 16, 7
 PATH_DIM, WORD_DIM, COUNTS = 96, 24, 6
 STEPS = 20_000
 
-_SKIP = {"script", "style", "template", "noscript", "svg", "math", "iframe", "object", "head-skip"}
+#: Elements whose contents are no text of the page. Their end, or that of an element around them, ends them.
+_SKIP = {"script", "style", "template"}
+#: Elements of other vocabularies: all tags inside are inline, but for the metadata of drawings.
+_FOREIGN, _METADATA = {"svg", "math"}, {"title", "desc", "metadata"}
+#: Elements that end an open foreign element.
+_BREAKOUT = {"address", "article", "aside", "blockquote", "body", "center", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: An element of the key ends when one of these starts inside it.
@@ -51,7 +57,7 @@ class _Reader(HTMLParser):
         self.stack: list[tuple[str, str]] = []
         self.blocks: list[tuple[str, str, int]] = []
         self.parts: list[str] = []
-        self.links = self.in_link = self.skip = 0
+        self.links = self.in_link = self.skip = self.foreign = self.quiet = 0
 
     def flush(self):
         text = " ".join("".join(self.parts).split())
@@ -60,10 +66,14 @@ class _Reader(HTMLParser):
         self.parts, self.links = [], 0
 
     def handle_starttag(self, tag, attrs):
-        if tag in _SKIP:
-            self.skip += tag not in _VOID
-            self.flush()
+        if tag in _FOREIGN:
+            self.foreign += 1
             return
+        if self.foreign and tag not in _SKIP:
+            if tag not in _BREAKOUT:
+                self.quiet += tag in _METADATA
+                return
+            self.foreign = self.quiet = 0
         if tag in _INLINE:
             if tag == "br":
                 self.parts.append(" ")
@@ -82,17 +92,22 @@ class _Reader(HTMLParser):
         if "hidden" in named or "display:none" in (named.get("style") or "").replace(" ", ""):
             words.append("hidden")
         self.stack.append((tag, " ".join(words)))
+        self.skip += tag in _SKIP
 
     def handle_startendtag(self, tag, attrs):
-        if tag in _VOID or tag in _INLINE:
-            self.handle_starttag(tag, attrs)
-        elif tag not in _SKIP:
+        if tag not in _SKIP and tag not in _FOREIGN and not self.foreign:
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if tag in _SKIP:
-            self.skip = max(0, self.skip - 1)
+        if tag in _FOREIGN:
+            self.foreign = max(0, self.foreign - 1)
+            self.quiet *= self.foreign > 0
             return
+        if self.foreign and tag not in _SKIP:
+            if not any(t == tag for t, _ in self.stack):
+                self.quiet = max(0, self.quiet - (tag in _METADATA))
+                return
+            self.foreign = self.quiet = 0
         if tag in _INLINE:
             if tag == "a":
                 self.in_link = 0
@@ -100,11 +115,12 @@ class _Reader(HTMLParser):
         self.flush()
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
+                self.skip -= sum(t in _SKIP for t, _ in self.stack[i:])
                 del self.stack[i:]
                 break
 
     def handle_data(self, data):
-        if not self.skip:
+        if not self.skip and not self.quiet:
             self.parts.append(data)
             if self.in_link:
                 self.links += len(data)
@@ -290,7 +306,7 @@ def generated_page(r: random.Random) -> tuple[str, list[str]]:
     menu = lambda: boxed([("nav", None), ("nav", ["menu", "breadcrumb"]), ("div", ["menu", "nav", "navbar", "navigation", "breadcrumbs", "topnav"]), ("ul", ["menu", "nav"])], links(2, 9))
     head = lambda: boxed([("header", None), ("header", ["site", "masthead"]), ("div", ["header", "masthead", "banner", "top"])], pick(["", f"<h1>{words(1, 3)}</h1>", f"<p>{words(1, 6)}</p>", menu(), f'<div class="logo">{words(1, 2)}</div>']) + pick(["", menu()]))
     advert = lambda: boxed([("div", ["ad", "ads", "advert", "sponsored", "promo", "banner", "advertisement"]), ("aside", ["ad", "promo"])], pick([sentence(3, 14), f"<p>{sentence(3, 20)}</p>", link(), sentence(30, 60)]))
-    notice = lambda: boxed([("div", ["cookie", "notice", "consent", "gdpr", "alert", "newsletter", "popup", "modal", "cookie banner"])], pick([f"<p>{sentence(4, 25)}</p>", sentence(4, 25)]) + pick(["", f"<button>{words(1, 2)}</button>", link()]))
+    notice = lambda: boxed([("div", ["cookie", "notice", "consent", "gdpr", "alert", "newsletter", "popup", "modal", "cookie banner"]), ("noscript", None)], pick([f"<p>{sentence(4, 25)}</p>", sentence(4, 25)]) + pick(["", f"<button>{words(1, 2)}</button>", link()]))
     form = lambda: f"<form>{pick(['', '<label>' + words(1, 3) + '</label>', '<p>' + sentence(2, 8) + '</p>'])}<input name=q><button>{words(1, 2)}</button>{pick(['', '<select><option>' + word() + '<option>' + word() + '</select>', '<textarea>' + words(1, 4) + '</textarea>'])}</form>"
     side = lambda: boxed([("aside", None), ("aside", ["sidebar"]), ("div", ["sidebar", "side", "widget", "related", "recommended", "share", "social", "tags", "rail"])], pick(["", f"<h3>{words(1, 4)}</h3>"]) + pick([links(2, 6), f"<p>{sentence(4, 25)}</p>", form(), f"<p>{sentence(4, 18)}</p><p>{sentence(4, 18)}</p>"]))
     said = lambda: boxed([("div", ["comment", "reply", "comment body"]), ("li", ["comment"]), ("article", ["comment"])], pick(["", f"<h4>{words(1, 2)}</h4>", f'<span class="author">{word()}</span>']) + "".join(f"<p>{sentence(3, 40)}</p>" for _ in range(r.randint(1, 2))))
@@ -321,7 +337,7 @@ def generated_page(r: random.Random) -> tuple[str, list[str]]:
             elif kind < 0.93:
                 out.append("<table>" + "".join("<tr>" + "".join(f"<td>{text(1, 3)}</td>" for _ in range(2)) + "</tr>" for _ in range(2)) + "</table>")
             else:
-                out.append(pick([advert, notice, side, lambda: f"<!-- {word()} -->", lambda: "<script>var t='</p>';</script>"])())
+                out.append(pick([advert, notice, side, lambda: f"<noscript><p>{text(5, 40)}</p></noscript>", lambda: f"<!-- {word()} -->", lambda: "<script>var t='</p>';</script>"])())
         return "".join(out)
 
     parts = [pick(["", head()]), pick(["", menu(), menu()]), pick(["", "", notice()]), pick(["", advert()])]
@@ -368,7 +384,7 @@ def extract(pages: DataFrame, columns: list[str], html: str = "html", net: Label
                 yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(texts, pa.string())], names=[*names, "text"])
 
     kinds = ", ".join(f"c{i} {pages.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
-    return pages.select(*columns, html).mapInArrow(run, f"{kinds}, text string").withColumnsRenamed(dict(zip(names, columns, strict=True)))
+    return pages.select(*columns, html).mapInArrow(tidy(run), f"{kinds}, text string").withColumnsRenamed(dict(zip(names, columns, strict=True)))
 
 
 def op6_html(spark, sf_dir: str) -> DataFrame:
