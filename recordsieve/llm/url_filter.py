@@ -8,19 +8,21 @@ class, and an explicit allow of any alias takes precedence. Without either the v
 
 All of it is DataFrame expressions. Defined cases: null urls, and such without ``://``, have an
 empty host and path, no rule and no aliases; null html has no edges; the fragment of a url is no
-part of its identity; repeated rows are each judged; other columns are not read. The rules are
-configuration and become one expression, so there may be at most ``MAX_RULES``.
+part of its identity; repeated rows are each judged; other columns are not read. The rules are a list on the
+driver; a table of up to ``MAX_RULES`` is broadcast, a longer one is joined by a shuffle.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import small, written
 from .components import components
 
-MAX_RULES = 2000
+MAX_RULES = 100_000
 
 RULES = [
     ("allow", "com", "/"),
@@ -47,16 +49,24 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def fitting(h: Column, p: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
-    """The longest fitting rule as text, and its verdict; both null without one."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    order = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow", r[1] + r[2]))
-    name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for v, rh, rp in reversed(order):
-        fits = ((h == rh) | h.endswith("." + rh)) & p.startswith(rp)
-        name, verdict = F.when(fits, rh + rp).otherwise(name), F.when(fits, v).otherwise(verdict)
-    return name, verdict
+def fitting(urls: DataFrame, rules: list[tuple[str, str, str]], keep: list[str]) -> DataFrame:
+    """The columns to keep of urls (host, path, ..) with the longest fitting rule as text and its verdict; both null without one.
+
+    A host has one domain of each number of labels, and the rules stand in a table by host: for every number
+    of labels that rules have, one join finds the rules of a url's domain. So a url's cost does not grow with the
+    number of rules, but for those of one host.
+    """
+    spark, found = urls.sparkSession, []
+    given = F.from_json(F.lit(json.dumps([{"v": v, "h": h, "p": p} for v, h, p in rules])), "array<struct<v: string, h: string, p: string>>")
+    table = spark.range(1).select(F.explode(given).alias("r")).select("r.*")
+    table = table.groupBy("h").agg(F.collect_set(F.struct((-F.length(F.concat("h", "p"))).alias("size"), (F.col("v") != "allow").alias("late"), F.concat("h", "p").alias("rule"), "v", "p")).alias("found"))
+    out = urls.select(*keep, "host", "path")
+    for labels in sorted({h.count(".") + 1 for _, h, _ in rules}):
+        some = table.where(F.length("h") - F.length(F.replace("h", F.lit("."), F.lit(""))) == labels - 1).select(F.col("h").alias(f"__h{labels}"), F.col("found").alias(f"__r{labels}"))
+        out = out.join(F.broadcast(some) if len(rules) <= MAX_RULES else some, F.substring_index("host", ".", -labels) == F.col(f"__h{labels}"), "left")
+        found.append(F.filter(F.coalesce(f"__r{labels}", F.array().cast(some.schema[1].dataType)), lambda r: F.col("path").startswith(r["p"])))
+    best = F.array_min(F.concat(*found)) if found else F.lit(None).cast("struct<rule: string, v: string>")
+    return out.withColumn("__best", best).select(*keep, "host", "path", F.col("__best.rule").alias("rule"), F.col("__best.v").alias("verdict"))
 
 
 def _node(url: Column) -> Column:
@@ -100,17 +110,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects
     if redirects is not None:
         edges = edges.unionByName(redirects.select(_node(F.col("src")).alias("src"), _node(F.col("dst")).alias("dst")).where("src is not null and dst is not null"))
     classes = components(edges, "src", "dst")
-    of_node = fitting(host(F.col("node")), path(F.col("node")), rules)[1]
-    judged = classes.withColumn("v", of_node)
-    said = judged.groupBy("label").agg(F.max((F.col("v") == "allow").cast("int")).alias("allows"), F.max((F.col("v") == "block").cast("int")).alias("blocks"))
+    judged = fitting(classes.withColumns({"host": host(F.col("node")), "path": path(F.col("node"))}), rules, ["label"])
+    said = judged.groupBy("label").agg(F.max((F.col("verdict") == "allow").cast("int")).alias("allows"), F.max((F.col("verdict") == "block").cast("int")).alias("blocks"))
     said = said.select("label", F.when(F.col("allows") == 1, "allow").when(F.col("blocks") == 1, "block").alias("by_class"))
     nodes = small(written(classes.join(said, "label").select(F.col("node").alias("__node"), F.col("label").alias("alias"), "by_class"), "aliases"))
-    h, p = host(F.col("url")), path(F.col("url"))
-    out = pages.select("page_id", "url", h.alias("host"), p.alias("path"), _node(F.col("url")).alias("__node"))
-    rule, verdict = fitting(F.col("host"), F.col("path"), rules)
-    out = out.withColumn("rule", rule).withColumn("__v", verdict)
-    out = out.join(nodes, "__node", "left")
-    return out.select("page_id", "url", "host", "path", "rule", F.coalesce("__v", "by_class", F.lit("allow")).alias("verdict"), "alias")
+    out = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), _node(F.col("url")).alias("__node"))
+    out = fitting(out, rules, ["page_id", "url", "__node"]).join(nodes, "__node", "left")
+    return out.select("page_id", "url", "host", "path", "rule", F.coalesce("verdict", "by_class", F.lit("allow")).alias("verdict"), "alias")
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
