@@ -6,6 +6,7 @@ A store is a folder in the shared file system:
 * ``manifest/v<20 digits>.json``: the complete list of live shards (path, bytes, rows, tier) of a
   version. A version is committed by renaming a finished temporary file to its name, which fails
   if the name exists: two writers cannot commit the same version, readers see whole versions only.
+  That holds on HDFS and on local file systems; an object store whose rename replaces needs one writer.
 
 Compaction takes runs of similarly sized shards: tier t holds sizes below ``target / fanout**t``
 (tier 0 is done). A tier with at least ``min_run`` shards is merged, file by whole file and without
@@ -15,12 +16,13 @@ Reading the store reads the files that the newest (or a given) manifest names.
 Defined cases: rows are kept exactly, nulls, empty texts, repeated rows and columns of any name
 included; an empty append commits a version without new shards; an empty store reads as no rows
 of its schema. A lost executor's task is rerun by Spark's committer; a job that dies before the
-rename leaves files that no manifest names, which :meth:`ShardStore.vacuum` removes.
+rename leaves files that no manifest names, which :meth:`ShardStore.vacuum` removes after a time of grace.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -33,6 +35,8 @@ from .cluster import scratch
 TARGET_BYTES = 128 << 20
 FANOUT = 4
 MIN_RUN = 2
+#: Seconds that a file no manifest names is kept: longer than any write takes until its commit.
+GRACE = 7 * 86400
 
 
 class CommitConflict(RuntimeError):
@@ -87,7 +91,8 @@ class ShardStore:
             out.write(bytearray(json.dumps(found).encode()))
         finally:
             out.close()
-        if self._fs.exists(final) or not self._fs.rename(temp, final):
+        # a newer version may stand where a vacuum has removed this one
+        if any(v >= version for v in self._versions()) or not self._fs.rename(temp, final):
             self._fs.delete(temp, False)
             raise CommitConflict(f"version {version} exists")
         return self.manifest(version)
@@ -152,22 +157,27 @@ class ShardStore:
             gone |= {s.path for s in run}
         return self._commit(base, base["schema"], [*(s for s in base["shards"] if s.path not in gone), *merged])
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Delete manifests older than the ``keep`` newest, and files that none of those names."""
+    def vacuum(self, keep: int = 1, grace: float = GRACE) -> None:
+        """Delete manifests older than the ``keep`` newest, and the files that only those name.
+
+        Files that no manifest names may belong to a write that is still to be committed; they go when they
+        have not been changed for ``grace`` seconds.
+        """
         versions = self._versions()
         named = {s.path for v in versions[-keep:] for s in self.manifest(v)["shards"]}
+        gone = {s.path for v in versions[:-keep] for s in self.manifest(v)["shards"]} - named
         for v in versions[:-keep]:
             self._fs.delete(self._path(f"{self.root}/manifest/v{v:020d}.json"), False)
-        folder = self._path(f"{self.root}/data")
+        folder, before = self._path(f"{self.root}/data"), (time.time() - grace) * 1000
         for d in self._fs.listStatus(folder) if self._fs.exists(folder) else ():
-            files = [f.getPath() for f in self._fs.listStatus(d.getPath())]
-            live = [f for f in files if f.toString() in named]
-            if not live:
+            files = [f for f in self._fs.listStatus(d.getPath()) if f.getPath().getName() != "_SUCCESS"]
+            left = [f for f in files if f.getPath().toString() in named or f.getPath().toString() not in gone and f.getModificationTime() >= before]
+            if not left and (files or d.getModificationTime() < before):
                 self._fs.delete(d.getPath(), True)
                 continue
             for f in files:
-                if f.getName().startswith("part-") and f.toString() not in named:
-                    self._fs.delete(f, False)
+                if f not in left:
+                    self._fs.delete(f.getPath(), True)
 
     def read(self, version: int | None = None) -> DataFrame:
         found = self.manifest(version)
