@@ -3,7 +3,7 @@
 1. Sizes are words of ``[^\\x20\\x09-\\x0D]+``. Sources in order of code point, null last, weigh 5, 2,
    1, repeating, and share ``share`` times all words; a target stops at ``cap`` times its source's
    size and the excess is reshared by weight (one water level over the sources finds this).
-2. Documents fall into blocks of a source by a hash of their id. A source's draw sequence is its
+2. Documents fall into blocks of a source by a hash of their id, or of their text where that is null. A source's draw sequence is its
    blocks in a permuted order, over and over, until its target is reached; only the last block is
    drawn in part, document by document in hash order, its last document up to the word.
 3. The exact numbers of drawn blocks are the root's quotas. Every tree node splits its quotas at
@@ -17,7 +17,7 @@ never gathered by source: only blocks (at most ``MAX_BLOCKS`` a source) meet in
 documents of the one block that is drawn in part.
 
 Defined cases: null or blank text has size 0 and is never taken; a null source is a source, the
-last; null ids are hashed as the empty text; repeated rows are each mixed; without words all
+last; repeated rows are each mixed, and rows of one id and size are told apart by their text; without words all
 targets are 0; an empty table gives no rows; a column of docs with the name of a result is left
 out of :func:`plan`'s rows.
 """
@@ -37,6 +37,8 @@ SEED = "mix-1"
 BLOCK_WORDS = 65_536
 MAX_BLOCKS = 1 << 20
 SHARD_WORDS = 16_000_000
+#: Hashes of tickets fall into 4096 buckets by their highest bits.
+BUCKET_SHIFT = 52
 WORD = r"[^\x20\x09-\x0D]+"
 RESULTS = ["size", "source_size", "target", "taken", "copies"]
 
@@ -45,8 +47,9 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _key(doc_id: str) -> Column:
-    return F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+def _key(doc_id: str, text: str) -> Column:
+    """A hash of the id; of the text where that is null."""
+    return F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("|"), F.md5(F.coalesce(text, F.lit("")))))))
 
 
 def _number(key: Column) -> Column:
@@ -75,18 +78,31 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int =
 
 
 def _tree(quotas: DataFrame, shards: int) -> DataFrame:
-    """(sid, shard, quota) from the root's (sid, drawn): each level halves every node's range of shards."""
+    """(sid, shard, quota) from the root's (sid, drawn): each level halves every node's range of shards.
+
+    A node's left half gets its tickets with the least hashes, which is a draw without replacement. Hashes
+    are counted by their highest bits first: only the tickets of the one bucket that the border crosses
+    are put in order, so that not even the root meets in one task.
+    """
     t = quotas.where("drawn > 0").select("sid", F.explode(F.sequence(F.lit(1), F.col("drawn"))).alias("ticket"))
     t = t.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(shards))
     for level in range(max(0, math.ceil(math.log2(shards)))):
+        t = t.withColumn("hash", F.xxhash64(F.lit(SEED), F.lit(level), "lo", "sid", "ticket")).withColumn("bucket", F.shiftright("hash", BUCKET_SHIFT))
         node = Window.partitionBy("lo", "hi")
-        rank = F.row_number().over(node.orderBy(F.xxhash64(F.lit(SEED), F.lit(level), "lo", "sid", "ticket"), "sid", "ticket"))
         mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        left = F.floor(F.count(F.lit(1)).over(node) * (mid - F.col("lo")) / (F.col("hi") - F.col("lo")))
-        t = t.withColumn("rank", rank).withColumn("left", left).withColumn("mid", mid)
-        goes_left = (F.col("hi") - F.col("lo") <= 1) | (F.col("rank") <= F.col("left"))
+        c = t.groupBy("lo", "hi", "bucket").agg(F.count(F.lit(1)).alias("c"))
+        c = c.withColumn("left", F.floor(F.sum("c").over(node) * (mid - F.col("lo")) / (F.col("hi") - F.col("lo"))))
+        c = c.withColumn("before", F.sum("c").over(node.orderBy("bucket")) - F.col("c"))
+        c = written(c, "mix-buckets")
+        t = t.join(small(c), ["lo", "hi", "bucket"])
+        leaf = F.col("hi") - F.col("lo") <= 1
+        crossed = ~leaf & (F.col("before") < F.col("left")) & (F.col("left") < F.col("before") + F.col("c"))
+        rank = F.row_number().over(Window.partitionBy("lo", "hi", "bucket").orderBy("hash", "sid", "ticket"))
+        border = t.where(crossed).withColumn("rank", F.col("before") + rank)
+        t = t.where(~crossed).withColumn("rank", F.col("before") + F.col("c")).unionByName(border).withColumn("mid", mid)
+        goes_left = leaf | (F.col("rank") <= F.col("left"))
         # the ticket only counts; which blocks a shard draws is settled by the quotas' order
-        t = t.select("sid", "ticket", F.when(goes_left, F.col("lo")).otherwise(F.col("mid")).alias("lo"), F.when((F.col("hi") - F.col("lo") <= 1) | ~goes_left, F.col("hi")).otherwise(F.col("mid")).alias("hi"))
+        t = t.select("sid", "ticket", F.when(goes_left, F.col("lo")).otherwise(F.col("mid")).alias("lo"), F.when(leaf | ~goes_left, F.col("hi")).otherwise(F.col("mid")).alias("hi"))
     return t.groupBy("sid", F.col("lo").alias("shard")).agg(F.count(F.lit(1)).alias("quota"))
 
 
@@ -98,7 +114,7 @@ def _with_source(df: DataFrame, sources: DataFrame) -> DataFrame:
 def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", shard_words: int = SHARD_WORDS, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """docs with size, source_size, target, taken and copies: an array of (epoch, shard, words)."""
     base = docs.drop(*clashing(docs, RESULTS))
-    base = base.withColumns({"size": word_count(text), "__src": F.col(source), "__key": _key(doc_id)})
+    base = base.withColumns({"size": word_count(text), "__src": F.col(source), "__key": _key(doc_id, text)})
     sizes = written(base.select(F.col("__src").alias("source"), "size", "__key"), "mix-sizes")
     sources = written(targets(sizes, weights, share, cap), "mix-targets")
     block = F.pmod(_number(F.col("__key")), F.col("__blocks")).alias("__block")
@@ -122,7 +138,7 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     rows = _with_source(base, sources).withColumn("__block", block)
     rows = rows.join(small(blocks.withColumnRenamed("words", "__words")), ["__sid", "__block"], "left")
     whole = F.col("__left") >= F.col("__words")
-    in_block = Window.partitionBy("__sid", "__block").orderBy("__key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    in_block = Window.partitionBy("__sid", "__block").orderBy("__key", "size", F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, 0)
     cut = (F.col("__left") > 0) & ~whole
     part = rows.where(cut).withColumn("__extra", F.greatest(F.lit(0), F.least("size", F.col("__left") - F.sum("size").over(in_block) + F.col("size"))))
     rest = rows.where(~cut).withColumn("__extra", F.when(whole, F.col("size")).otherwise(F.lit(0)))
@@ -160,7 +176,7 @@ def op2_mixing(spark, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                  md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+                  md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '|' || md5(coalesce(text, '')))) AS h FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS z FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM s0),
 s2 AS (SELECT *, CASE (sid - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s1),
