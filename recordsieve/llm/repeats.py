@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .cluster import small, text_batches, written
+from .cluster import small, text_batches, tidy, written
 from .suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, ANCHOR = 200, 64
@@ -108,7 +108,7 @@ def _shared_anchors(docs: DataFrame, length: int) -> DataFrame:
                 h, count = np.unique(regions(t, length, contents=False)[4], return_counts=True)
                 yield pa.RecordBatch.from_arrays([_signed(h), pa.array(count.astype(np.int64))], names=["h", "k"])
 
-    return docs.select("text").mapInArrow(run, "h long, k long").groupBy("h").agg(F.sum("k").alias("k")).where("k > 1").select("h")
+    return docs.select("text").mapInArrow(tidy(run), "h long, k long").groupBy("h").agg(F.sum("k").alias("k")).where("k > 1").select("h")
 
 
 def _regions_of(docs: DataFrame, length: int) -> DataFrame:
@@ -128,14 +128,15 @@ def _regions_of(docs: DataFrame, length: int) -> DataFrame:
                     names=["h", "g", "t1", "t2", "pos", "anchor", "doc_id"],
                 )
 
-    return docs.mapInArrow(run, f"h long, g long, t1 long, t2 long, pos long, anchor int, doc_id {docs.schema[0].dataType.simpleString()}")
+    return docs.mapInArrow(tidy(run), f"h long, g long, t1 long, t2 long, pos long, anchor int, doc_id {docs.schema[0].dataType.simpleString()}")
 
 
 def _judged(rows: DataFrame) -> DataFrame:
     """rows with n (rows of equal regions), kinds (different regions of the anchor), rep (one of the equal ones)."""
     mark = F.xxhash64("t1", "t2", "pos")
     same = rows.groupBy("h", "g").agg(F.sum("c").alias("n"), F.min(mark).alias("least"))
-    kinds = same.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
+    # both are dealt out once more, so that joins read exchanges alone and can be split where an anchor is hot
+    kinds = same.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).hint("rebalance")
     same = written(same.join(kinds, "h"), "kinds")
     return rows.join(same, ["h", "g"]).withColumn("rep", mark == F.col("least")).drop("least")
 
@@ -162,7 +163,7 @@ def _bytes_of(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
                 t1, t2 = _text_keys(t)
                 yield pa.RecordBatch.from_arrays([_signed(t1), _signed(t2), b.column(0).slice(t.first_row, len(t))], names=["t1", "t2", "text"])
 
-    texts = chosen.mapInArrow(keyed, "t1 long, t2 long, text string").join(small(rows.select("t1", "t2").distinct()), ["t1", "t2"], "left_semi")
+    texts = chosen.mapInArrow(tidy(keyed), "t1 long, t2 long, text string").join(small(rows.select("t1", "t2").distinct()), ["t1", "t2"], "left_semi")
     texts = texts.dropDuplicates(["t1", "t2"])
     wanted = rows.groupBy("t1", "t2").agg(F.collect_set(F.struct("h", F.col("n").alias("c"), "pos", "anchor", "kinds")).alias("r"))
 
@@ -181,7 +182,7 @@ def _bytes_of(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
             )
 
     both = texts.join(wanted, ["t1", "t2"]).select("t1", "t2", "text", "r")
-    return both.mapInArrow(cut, "t1 long, t2 long, h long, c long, pos long, anchor int, kinds long, bytes binary")
+    return both.mapInArrow(tidy(cut), "t1 long, t2 long, h long, c long, pos long, anchor int, kinds long, bytes binary")
 
 
 def _shard_repeats(parts: list[bytes], length: int) -> list[np.ndarray]:
@@ -230,7 +231,7 @@ def _shards(rows: DataFrame, length: int) -> DataFrame:
             yield judged(held)
 
     rows = rows.select("t1", "t2", "h", "pos", "bytes").repartition("h").sortWithinPartitions("h")
-    return rows.mapInArrow(run, "t1 long, t2 long, first long, end long")
+    return rows.mapInArrow(tidy(run), "t1 long, t2 long, first long, end long")
 
 
 def _narrowed(rows: DataFrame, grid: int, length: int) -> DataFrame:
@@ -257,7 +258,7 @@ def _narrowed(rows: DataFrame, grid: int, length: int) -> DataFrame:
             kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    return rows.select("t1", "t2", "h", "c", "pos", "anchor", "bytes").mapInArrow(run, "h long, g long, t1 long, t2 long, pos long, anchor int, c long, bytes binary")
+    return rows.select("t1", "t2", "h", "c", "pos", "anchor", "bytes").mapInArrow(tidy(run), "h long, g long, t1 long, t2 long, pos long, anchor int, c long, bytes binary")
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
@@ -266,7 +267,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: in
     text_batches(docs.sparkSession)
     if length % 8 or length <= ANCHOR or length - ANCHOR >= 1 << 16:
         raise ValueError(f"length is a multiple of 8 above {ANCHOR}")
-    shared = _shared_anchors(docs, length)
+    shared = _shared_anchors(docs, length).hint("rebalance")
     rows = written(_regions_of(docs, length).join(shared, "h").withColumn("c", F.lit(1).cast("long")), "regions")
     judged = written(_judged(rows), "judged")
     spans = [_whole(judged, length).distinct()]
@@ -325,9 +326,9 @@ def remove(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(n_bytes, pa.int64()), pa.array(removed, pa.list_(pair)), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "removed", "kept"])
 
     schema = f"{kinds}, n_bytes long, removed array<array<long>>, kept binary"
-    clear = docs.join(ids, same, "left_anti").select(*columns, F.col(text).alias("text")).mapInArrow(cut, schema)
-    some = docs.join(ids, same, "left_semi").select(*columns, F.col(text).alias("text")).mapInArrow(keyed, f"{kinds}, text string, t1 long, t2 long")
-    some = some.join(spans, ["t1", "t2"], "left").select(*names, "text", "spans").mapInArrow(cut, schema)
+    clear = docs.join(ids, same, "left_anti").select(*columns, F.col(text).alias("text")).mapInArrow(tidy(cut), schema)
+    some = docs.join(ids, same, "left_semi").select(*columns, F.col(text).alias("text")).mapInArrow(tidy(keyed), f"{kinds}, text string, t1 long, t2 long")
+    some = some.join(spans, ["t1", "t2"], "left").select(*names, "text", "spans").mapInArrow(tidy(cut), schema)
     return clear.unionByName(some).withColumnsRenamed(dict(zip(names, columns, strict=True)))
 
 
