@@ -1,8 +1,9 @@
 """Distributed connected components by alternating large and small stars.
 
 Only DataFrame operations. Each round is written to the shared folder, so a lost executor costs a
-reread. Minima are pre-aggregated before they meet their neighbours, and the join that hands a
-minimum to the neighbours of a node is one that adaptive execution splits where a node is hot.
+reread. Minima are pre-aggregated before they meet their neighbours, and dealt out once more, so that the join
+that hands a minimum to the neighbours of a node reads nothing but exchanges and adaptive execution can
+split it where a node is hot.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step on edges (a, b), a > b: every node's kept neighbours are hung under its minimum."""
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).hint("rebalance")
         return both.join(low, "a").where("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     low = edges.groupBy("a").agg(F.min("b").alias("m"))
-    hung = edges.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    hung = edges.join(low.hint("rebalance"), "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return hung.unionByName(low.select("a", F.col("m").alias("b")))
 
 

@@ -5,8 +5,7 @@ words the whole sequence is its one element; without words it is empty and linke
 Two documents link when 100 * |A and B| >= percent * |A or B|. The result is whole: no cap on
 partners, groups or lengths.
 
-1. Documents of equal sets are one node (128 bits of set digest; a collision of the 64 bits used as
-   key is detected and ends in another salt).
+1. Documents of equal sets (by 128 bits of digest) are one node, which gets a number.
 2. In any common order of elements, linked sets share one of each set's first n - ceil(t n) + 1. The
    order is by length, then hash: long runs of words are rare, so few documents meet by chance. But
    elements found in many prefixes come last (a bounded broadcast list that only affects speed), so a
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .cluster import arrow_rows, drop, give_back, small, text_batches, written
+from .cluster import arrow_rows, drop, small, text_batches, tidy, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -79,9 +78,9 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _digest(s: np.ndarray, salt: int) -> tuple[int, int]:
+def _digest(s: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
-        a = int(K.mix(s + K.U64(2 * salt + 1)).sum(dtype=np.uint64))
+        a = int(K.mix(s + K.U64(1)).sum(dtype=np.uint64))
         b = int(K.mix(s ^ K.U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     return signed(a ^ len(s)), signed(b)
@@ -94,24 +93,24 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64)))
 
 
-def _prefixes(docs: DataFrame, k: int, percent: int, salt: int, heavy) -> DataFrame:
-    """(doc_id, n, node, check, sig, tokens) of every row; node is null for empty sets."""
+def _prefixes(docs: DataFrame, k: int, percent: int, heavy) -> DataFrame:
+    """(doc_id, n, d1, d2, sig, tokens) of every row; d1 and d2, the set's digest, are null for empty sets."""
 
     def run(batches):
         late = heavy.value if heavy is not None else None
         for b in batches:
-            ns, nodes, checks, sigs, tokens = [], [], [], [], []
+            ns, firsts, seconds, sigs, tokens = [], [], [], [], []
             for s in shingle_sets(b.column(1), k):
                 ns.append(len(s))
                 if not len(s):
-                    nodes.append(None)
-                    checks.append(None)
+                    firsts.append(None)
+                    seconds.append(None)
                     sigs.append(None)
                     tokens.append(s)
                     continue
-                x, y = _digest(s, salt)
-                nodes.append(x)
-                checks.append(y)
+                x, y = _digest(s)
+                firsts.append(x)
+                seconds.append(y)
                 sigs.append(_signature(s))
                 p = prefix_length(len(s), percent)
                 first = s[:p]
@@ -120,11 +119,11 @@ def _prefixes(docs: DataFrame, k: int, percent: int, salt: int, heavy) -> DataFr
                     first = np.concatenate([s[~m], s[m]])[:p]
                 tokens.append(first)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sigs, pa.binary()), _lists(tokens)],
-                names=["doc_id", "n", "node", "check", "sig", "tokens"],
+                [b.column(0), pa.array(ns, pa.int64()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sigs, pa.binary()), _lists(tokens)],
+                names=["doc_id", "n", "d1", "d2", "sig", "tokens"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, n long, node long, check long, sig binary, tokens array<long>")
+    return docs.mapInArrow(tidy(run), f"doc_id {docs.schema[0].dataType.simpleString()}, n long, d1 long, d2 long, sig binary, tokens array<long>")
 
 
 def _isin(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -143,7 +142,7 @@ def _heavy(rows: DataFrame) -> np.ndarray:
             often = count >= LOCAL
             yield pa.RecordBatch.from_arrays([pa.array(token[often]), pa.array(count[often])], names=["token", "c"])
 
-    found = rows.select("tokens").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    found = rows.select("tokens").mapInArrow(tidy(run), "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
     found = found.where(F.col("c") > HEAVY_ROWS).orderBy(F.desc("c"), "token").select("token").limit(HEAVY_LIST)
     return np.sort(np.array([r[0] for r in found.collect()], np.int64).view(np.uint64))
 
@@ -155,8 +154,8 @@ def _members(rows: DataFrame, nodes: DataFrame, own: list[str]) -> DataFrame:
     fixed size goes to the rows and drops most others before the shuffle; beyond that all rows
     are joined. What the filter lets through by chance is sorted out by the caller's exact grouping.
     """
-    lead = small(nodes.select(F.col("node").alias("__node"), F.col("doc_id").alias("__lead")))
-    one = rows.join(lead, (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__lead")), "left_semi").select("node", "tokens")
+    lead = small(nodes.select("node", F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), F.col("doc_id").alias("__lead")))
+    one = rows.join(lead, (F.col("d1") == F.col("__d1")) & (F.col("d2") == F.col("__d2")) & F.col("doc_id").eqNullSafe(F.col("__lead"))).select("node", "tokens")
     repeated = one.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     repeated = written(repeated, "repeated", own)
     every = one.select("node", F.explode("tokens").alias("token"))
@@ -177,7 +176,7 @@ def _members(rows: DataFrame, nodes: DataFrame, own: list[str]) -> DataFrame:
             keep = (held.value[(at >> K.U64(3)).astype(np.int64)] >> (at & K.U64(7)).astype(np.uint8)) & 1 == 1
             yield pa.RecordBatch.from_arrays([pa.array(owner[keep]), pa.array(flat[keep])], names=["node", "token"])
 
-    return one.mapInArrow(run, "node long, token long")
+    return one.mapInArrow(tidy(run), "node long, token long")
 
 
 def _bits(size: float) -> int:
@@ -206,20 +205,19 @@ def _fold(rows: list[bytes], bits: int) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, leads: DataFrame, k: int, salt: int, own: list[str]) -> DataFrame:
-    """(node, elements) of the leads' nodes, read from rows with the leads' ids."""
+def _sets(docs: DataFrame, leads: DataFrame, k: int, own: list[str]) -> DataFrame:
+    """(node, elements) of the leads (node, doc_id, d1, d2), read from rows with the leads' ids."""
     ids = leads.select(F.col("doc_id").alias("__lead")).distinct()
     chosen = docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("__lead")), "left_semi").select("text")
 
     def run(batches):
         for b in batches:
             sets = [s for s in shingle_sets(b.column(0), k) if len(s)]
-            nodes = [_digest(s, salt)[0] for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(sets)], names=["node", "elements"])
-        give_back()
+            both = [_digest(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in both], pa.int64()), pa.array([d[1] for d in both], pa.int64()), _lists(sets)], names=["d1", "d2", "elements"])
 
     # an id, or its absence, may be on rows of several texts; other nodes than the leads' go
-    found = chosen.mapInArrow(run, "node long, elements array<long>").join(small(leads.select("node")), "node", "left_semi")
+    found = chosen.mapInArrow(tidy(run), "d1 long, d2 long, elements array<long>").join(small(leads.select("node", "d1", "d2")), ["d1", "d2"]).select("node", "elements")
     with arrow_rows(docs.sparkSession, SET_ROWS):
         found = written(found, "elements", own)
     if found.groupBy("node").count().where("count > 1").limit(1).count():  # rows of one id and text
@@ -250,10 +248,10 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 apart[at] = np.bitwise_count(_fold([s1[i] for i in at], bits) ^ _fold([s2[i] for i in at], bits)).sum(1, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(_admitted(n1, n2, apart, percent)))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, salt: int, percent: int, own: list[str]) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, own: list[str]) -> DataFrame:
     """Pairs (a, b) that link, enough to connect whatever the given pairs' links connect.
 
     Pairs meet in tiles of two blocks of nodes, so a set is sent once to a tile, not once to a pair. A
@@ -262,10 +260,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, salt:
     """
     ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
     home = ends.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("home"))
-    size = home.groupBy("home").agg(F.count(F.lit(1)).alias("c"))
+    size = home.groupBy("home").agg(F.count(F.lit(1)).alias("c")).hint("rebalance")  # so the join can be split where a home is hot
     home = home.join(size, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / SET_BLOCK).cast("long"))).alias("block"))
     home = written(home, "homes", own)
-    sets = _sets(docs, nodes.join(home.select("node"), "node", "left_semi").select("node", "doc_id"), k, salt, own)
+    sets = _sets(docs, nodes.join(home.select("node"), "node", "left_semi").select("node", "doc_id", "d1", "d2"), k, own)
     placed = pairs.join(home.select(F.col("node").alias("a"), F.col("block").alias("p")), "a").join(home.select(F.col("node").alias("b"), F.col("block").alias("q")), "b")
     placed = placed.select(F.xxhash64(F.least("p", "q"), F.greatest("p", "q")).alias("tile"), "a", "b")
     who = placed.select("tile", F.col("a").alias("node")).unionByName(placed.select("tile", F.col("b").alias("node"))).distinct()
@@ -303,7 +301,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, salt:
                     out.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
 
-    return rows.select("tile", "kind", "a", "b", "elements").mapInArrow(run, "a long, b long")
+    return rows.select("tile", "kind", "a", "b", "elements").mapInArrow(tidy(run), "a long, b long")
 
 
 def _admitted_forest(rows: DataFrame, percent: int, ratio: float) -> DataFrame:
@@ -379,7 +377,7 @@ def _admitted_forest(rows: DataFrame, percent: int, ratio: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array(list(up.values()), pa.int64())], names=["a", "b"])
 
     cols = [*names, "blk", "node", "label", "n", "sig"]
-    return rows.select(*cols).repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long")
+    return rows.select(*cols).repartition(*names).sortWithinPartitions(*names).mapInArrow(tidy(run), "a long, b long")
 
 
 def _tiles(clusters: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -487,35 +485,28 @@ def _tile_links(rows: DataFrame, percent: int) -> DataFrame:
                     out.append((node[r[i]], node[c[j]]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
-        give_back()
 
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(tidy(run), "a long, b long")
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    return _linked(docs, doc_id, text, k, percent)[0]
+    return _linked(docs, doc_id, text, k, percent)
 
 
-def _linked(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, keyed: bool = False) -> tuple[DataFrame, int]:
-    """link()'s rows and the salt of their nodes; ``keyed`` adds node and label, which no two components share."""
+def _linked(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, keyed: bool = False) -> DataFrame:
+    """link()'s rows; ``keyed`` adds the digest of the set and label, which no two components share."""
     spark = docs.sparkSession
     text_batches(spark)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     own: list[str] = []
     spare: list[str] = []  # tables that the result does not need
-    for salt in range(8):
-        rows = written(_prefixes(docs, k, percent, salt, None), "sets", own)
-        nodes = rows.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min("n").alias("n0"), F.max("check").alias("c"), F.min("check").alias("c0"))
-        nodes = written(nodes, "nodes", spare)
-        if not nodes.where("n <> n0 or c <> c0").limit(1).count():
-            break
-        drop(spark, own)
-    else:
-        raise RuntimeError("set digests collide under every salt")
+    rows = written(_prefixes(docs, k, percent, None), "sets", own)
+    nodes = rows.where("d1 is not null").groupBy("d1", "d2").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", spare)
     late = _heavy(rows)
     if len(late):
-        rows = written(_prefixes(docs, k, percent, salt, spark.sparkContext.broadcast(late)), "sets")
+        rows = written(_prefixes(docs, k, percent, spark.sparkContext.broadcast(late)), "sets")
         drop(spark, own)
     # elements met by two nodes or more, and who meets there
     members = written(_members(rows, nodes, spare), "members", spare)
@@ -525,7 +516,7 @@ def _linked(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, keyed
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     stars = written(_possible(stars, nodes, percent), "stars", spare)
     with arrow_rows(spark, SET_ROWS):
-        links = written(_verified(stars, docs, nodes, k, salt, percent, spare), "links", spare)
+        links = written(_verified(stars, docs, nodes, k, percent, spare), "links", spare)
     labels = written(components(links, "a", "b"), "labels", spare)
 
     # members of an element that are not joined yet meet in tiles
@@ -541,21 +532,21 @@ def _linked(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, keyed
     left = left.withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")}).join(nodes.select("node", "sig"), "node")
     clusters = written(components(_admitted_forest(left, percent, ratio), "a", "b"), "clusters", spare)
     about = nodes.select("node", "n", "sig").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sets = _sets(docs, nodes.join(clusters.select("node"), "node", "left_semi").select("node", "doc_id"), k, salt, spare)
+    sets = _sets(docs, nodes.join(clusters.select("node"), "node", "left_semi").select("node", "doc_id", "d1", "d2"), k, spare)
     full = _tiles(clusters, nodes, percent).join(about, "node").join(sets, "node").select("tile", "side", "node", "label", "n", "sig", "elements")
     with arrow_rows(spark, SET_ROWS):
         more = written(_tile_links(full, percent), "links", spare)
     if more.limit(1).count():
         labels = written(components(links.unionByName(more), "a", "b"), "labels", spare)
 
-    of_node = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
-    smallest = of_node.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    keys = ["node", "label"] if keyed else []
-    of_node = written(of_node.join(smallest, "label").select(*(keys or ["node"]), "component_id"), "components")
+    of_node = nodes.select("node", "d1", "d2", "doc_id").join(labels, "node", "left").select("d1", "d2", "doc_id", F.coalesce("label", "node").alias("label"))
+    smallest = of_node.groupBy("label").agg(F.min("doc_id").alias("component_id")).hint("rebalance")
+    keys = ["d1", "d2", "label"] if keyed else []
+    of_node = written(of_node.join(smallest, "label").select("d1", "d2", *keys[2:], "component_id"), "components")
     drop(spark, spare)
-    out = rows.select("doc_id", "n", "node").join(small(of_node), "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), *keys), salt
+    out = rows.select("doc_id", "n", "d1", "d2").join(small(of_node), ["d1", "d2"], "left")
+    component = F.when(F.col("d1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), *keys)
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -564,38 +555,40 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     Rows with a null id stay only where no linked row has an id, and then one of a group. An id on several
     texts is judged text by text; of rows with one id and no words, one stays.
     """
-    found, salt = _linked(docs, doc_id, text, k, percent, keyed=True)
-    found = written(found.select(F.col(doc_id).alias("__id"), "node", "label"), "dedup")
-    first = F.min(F.struct(F.col("__id").isNull().alias("absent"), F.col("__id").alias("id"), F.col("node").alias("node"))).alias("first")
-    first = written(found.where("node is not null").groupBy("label").agg(first).select("label", "first.*"), "first").withColumnRenamed("node", "lead")
+    found = _linked(docs, doc_id, text, k, percent, keyed=True)
+    found = written(found.select(F.col(doc_id).alias("__id"), "d1", "d2", "label"), "dedup")
+    first = F.min(F.struct(F.col("__id").isNull().alias("absent"), F.col("__id").alias("id"), F.col("d1").alias("lead1"), F.col("d2").alias("lead2"))).alias("first")
+    first = written(found.where("d1 is not null").groupBy("label").agg(first).select("label", "first.*"), "first")
     named = found.where("__id is not null").groupBy("__id").agg(F.count(F.lit(1)).alias("c"))
     twice = written(named.where("c > 1").select("__id"), "twice")
     # an id on one row tells the row
-    gone = found.where("__id is not null and node is not null").join(small(first), "label").where("absent or __id <> id").select("__id").distinct()
+    gone = found.where("__id is not null and d1 is not null").join(small(first), "label").where("absent or __id <> id").select("__id").distinct()
     several = F.col(doc_id) == F.col("__id")
     out = docs.join(small(gone.join(small(twice), "__id", "left_anti")), several, "left_anti")
     if not twice.limit(1).count() and not found.where("__id is null").limit(1).count():
         return out.select(*docs.columns)
     alone = out.where(F.col(doc_id).isNotNull()).join(small(twice), several, "left_anti")
     rest = out.where(F.col(doc_id).isNull()).unionByName(out.join(small(twice), several, "left_semi"))
-    rest = _with_node(rest, text, k, salt)
-    lead = first.join(small(twice), F.col("id") == F.col("__id"), "left_semi").unionByName(first.where("absent")).select(F.col("id").alias("__first"), F.col("lead").alias("__lead"))
-    kept = rest.join(small(lead), (F.col("__node") == F.col("__lead")) & F.col(doc_id).eqNullSafe(F.col("__first")), "left_semi").dropDuplicates(["__node"])
-    blank = rest.where("__node is null")
+    rest = _with_digest(rest, text, k)
+    lead = first.join(small(twice), F.col("id") == F.col("__id"), "left_semi").unionByName(first.where("absent")).select(F.col("id").alias("__first"), "lead1", "lead2")
+    same = (F.col("__d1") == F.col("lead1")) & (F.col("__d2") == F.col("lead2")) & F.col(doc_id).eqNullSafe(F.col("__first"))
+    kept = rest.join(small(lead), same, "left_semi").dropDuplicates(["__d1", "__d2"])
+    blank = rest.where("__d1 is null")
     blank = blank.where(F.col(doc_id).isNull()).unionByName(blank.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]))
     return alone.select(*docs.columns).unionByName(kept.unionByName(blank).select(*docs.columns))
 
 
-def _with_node(docs: DataFrame, text: str, k: int, salt: int) -> DataFrame:
-    """docs and __node, the digest of each row's set, null for an empty one."""
+def _with_digest(docs: DataFrame, text: str, k: int) -> DataFrame:
+    """docs and __d1, __d2, the digest of each row's set, null for an empty one."""
     at = docs.columns.index(text)
 
     def run(batches):
         for b in batches:
-            node = [_digest(s, salt)[0] if len(s) else None for s in shingle_sets(b.column(at), k)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node, pa.int64())], names=[*b.schema.names, "__node"])
+            both = [_digest(s) if len(s) else (None, None) for s in shingle_sets(b.column(at), k)]
+            digests = [pa.array([d[i] for d in both], pa.int64()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *digests], names=[*b.schema.names, "__d1", "__d2"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("__d1", T.LongType()), T.StructField("__d2", T.LongType())]))
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:

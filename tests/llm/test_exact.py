@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recordsieve.llm import components, decontaminate, mixing, ngram_join, quality, repeats, sharding, suffix_array, url_filter
 
@@ -129,7 +130,7 @@ def test_ngram_join(spark, odd, k, percent, block, monkeypatch):
 def test_deduplicate(spark, odd, none):
     got = ngram_join.deduplicate(odd)
     assert got.columns == odd.columns
-    assert sorted(str(r["doc_id"]) for r in got.collect()) == sorted(["1", "3", "4", "5", "6", "7", "8", "None", "None"])
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == sorted(["1", "3", "4", "5", "6", "7", "8", "None"])  # (null, base) is linked with 1
     assert ngram_join.deduplicate(none).count() == 0
 
 
@@ -266,6 +267,39 @@ def test_splitting_tree(spark):
     assert set(by_shard) == set(range(7)) and max(by_shard.values()) - min(by_shard.values()) <= 2
 
 
+def test_splitting_tree_by_a_plain_sort(spark):
+    """The left half of every node holds its tickets with the least hashes."""
+    quotas = {1: 40, 2: 25, 4: 90}
+    tickets = [(sid, k) for sid, n in quotas.items() for k in range(1, n + 1)]
+    nodes = {(0, 5): tickets}
+    for level in range(3):
+        below = {}
+        for (lo, hi), found in nodes.items():
+            if hi - lo <= 1:
+                below[lo, hi] = found
+                continue
+            rows = spark.createDataFrame(found, "sid int, ticket long")
+            marked = rows.selectExpr("sid", "ticket", f"xxhash64('{mixing.SEED}', {level}, {lo}, sid, ticket) AS h").collect()
+            order = [(r["sid"], r["ticket"]) for r in sorted(marked, key=lambda r: (r["h"], r["sid"], r["ticket"]))]
+            mid = (lo + hi) // 2
+            cut = len(order) * (mid - lo) // (hi - lo)
+            below[lo, mid], below[mid, hi] = order[:cut], order[cut:]
+        nodes = below
+    want = {}
+    for (lo, _), found in nodes.items():
+        for sid, _ in found:
+            want[sid, lo] = want.get((sid, lo), 0) + 1
+    got = mixing._tree(spark.createDataFrame(list(quotas.items()), "sid int, drawn long"), 5).collect()
+    assert {(r["sid"], r["shard"]): r["quota"] for r in got} == want
+
+
+def test_mixing_ties(spark):
+    """Rows of one id, or without one, that differ in their text only: the mixture is the same in any order of rows."""
+    rows = [(d if d % 3 else None, "ab"[d % 2], " ".join(f"{chr(97 + k)}{d}" for k in range(6))) for d in range(60)] + [(1, "a", f"one two three {k}") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert bag(mixing.mix(docs)) == bag(mixing.mix(docs.orderBy(F.desc("text")).repartition(3)))
+
+
 # quality
 
 
@@ -318,6 +352,27 @@ def test_aliases(spark):
     assert url_filter.judge(pages.where("false")).count() == 0
 
 
+def test_many_rules(spark):
+    """Thousands of rules, by a plain scan of all rules for every url."""
+    import random
+
+    r = random.Random(5)
+    hosts = [f"{a}.{b}" for a in ("x", "y", "www.x", "a.b.c") for b in ("com", "net", "co.uk")] + ["com", "net"]
+    rules = [(r.choice(["allow", "block"]), r.choice(hosts), "/" + "/".join(r.choice("pqrs") for _ in range(r.randint(0, 5)))) for _ in range(3000)]
+    urls = [(i, f"http://{r.choice(['', 'm.'])}{r.choice(hosts)}/" + "/".join(r.choice("pqrs") for _ in range(r.randint(0, 7))), None, 1, "x") for i in range(200)]
+
+    def best(url):
+        rest = url.split("://")[1]
+        h, _, p = rest.partition("/")
+        fits = [(-len(a + b), v != "allow", a + b, v) for v, a, b in rules if (h == a or h.endswith("." + a)) and ("/" + p).startswith(b)]
+        return min(fits)[2:] if fits else (None, "allow")
+
+    pages = spark.createDataFrame(urls, "page_id long, url string, html string, verdict long, host string")  # columns that clash
+    got = {x["page_id"]: (x["rule"], x["verdict"]) for x in url_filter.judge(pages, rules).collect()}
+    assert got == {i: best(u) for i, u, *_ in urls}
+    assert {x["verdict"] for x in url_filter.judge(pages, []).collect()} == {"allow"}
+
+
 # sharding
 
 
@@ -333,6 +388,16 @@ def test_store(spark, odd, none, tmp_path):
     store.vacuum()
     assert bag(store.read()) == bag(odd.unionByName(odd))
     assert sum(s.rows for s in after["shards"]) == 2 * odd.count()
+    # a write that is not committed yet outlives a vacuum
+    base, more = store.manifest(), store._write(odd)
+    store.vacuum()
+    store._commit(base, base["schema"], [*base["shards"], *more])
+    assert store.read().count() == 3 * odd.count()
+    lost = store._write(odd)
+    store.vacuum(grace=-60)
+    with pytest.raises(Exception, match="does not exist|PATH_NOT_FOUND"):
+        spark.read.parquet(lost[0].path).count()
+    assert store.read().count() == 3 * odd.count()
     with pytest.raises(sharding.CommitConflict):
         store._commit(before | {"version": after["version"] - 1}, after["schema"], [])
     with pytest.raises(ValueError):
