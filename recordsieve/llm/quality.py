@@ -29,8 +29,8 @@ from .cluster import small, text_batches, tidy, written
 
 LEAST_WORDS, REPEAT_PERCENT, RUN = 10, 20, 5
 REACH, LEAST = 6, 50
-#: Least spread of each measure: word length in hundredths, the others in thousandths.
-FLOORS = {"word_length": 25, "symbols": 10, "dup_lines": 100, "repeats": 50}
+#: Least spread of each measure: word length in hundredths, the others in thousandths. Repeats can only act below the base's 200.
+FLOORS = {"word_length": 25, "symbols": 10, "dup_lines": 50, "repeats": 30}
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -190,7 +190,7 @@ k AS (SELECT lang, source, measure, bin, 0 AS lv FROM u UNION ALL SELECT lang, N
 c AS (SELECT *, count(*) OVER (PARTITION BY lv, lang, source, measure) AS n, count(*) OVER (PARTITION BY lv, lang, source, measure ORDER BY bin) AS upto FROM k),
 q AS (SELECT lv, lang, source, measure, max(n) AS n, min(CASE WHEN 100 * upto >= 25 * n THEN bin END) AS q1, min(CASE WHEN 100 * upto >= 75 * n THEN bin END) AS q3 FROM c GROUP BY lv, lang, source, measure),
 p AS (SELECT x.lang, x.source, x.measure, CASE WHEN x.n >= 50 THEN x.q1 WHEN y.n >= 50 THEN y.q1 ELSE z.q1 END AS q1, CASE WHEN x.n >= 50 THEN x.q3 WHEN y.n >= 50 THEN y.q3 ELSE z.q3 END AS q3,
-        CASE x.measure WHEN 'word_length' THEN 25 WHEN 'symbols' THEN 10 WHEN 'dup_lines' THEN 100 ELSE 50 END AS fl
+        CASE x.measure WHEN 'word_length' THEN 25 WHEN 'symbols' THEN 10 WHEN 'dup_lines' THEN 50 ELSE 30 END AS fl
       FROM q x JOIN q y ON y.lv = 1 AND y.lang IS NOT DISTINCT FROM x.lang AND y.measure = x.measure JOIN q z ON z.lv = 2 AND z.measure = x.measure WHERE x.lv = 0),
 f AS (SELECT lang, source, max(CASE WHEN measure = 'word_length' THEN q1 - 6 * greatest(q3 - q1, fl) END) AS lo, max(CASE WHEN measure = 'word_length' THEN q3 + 6 * greatest(q3 - q1, fl) END) AS h1,
         max(CASE WHEN measure = 'symbols' THEN q3 + 6 * greatest(q3 - q1, fl) END) AS h2, max(CASE WHEN measure = 'dup_lines' THEN q3 + 6 * greatest(q3 - q1, fl) END) AS h3,
