@@ -13,10 +13,10 @@
   with E <= ``MAX_E`` are passages. The text's score is a logistic calibration of -log E of its best
   segment, plus the evidence of the passages after it.
 
-Learning reads a bounded sample of labelled rows (``TRAIN_ROWS``, by a hash of the id) and keeps at
-most ``FEATURES`` steps for the broadcast model. Scoring reads every whole text; labels, lang, source
-and ids are no inputs of a score. Training texts that share the smallest hash of their 5-word runs (copies)
-count once, so what only copies of one text share is no evidence.
+Learning reads a bounded sample of labelled rows (``TRAIN_ROWS``, by a hash of the id). The broadcast model has
+the features of that sample that ``LEAST_TOXIC`` toxic texts or more hold and whose step is not 0. Scoring reads every
+whole text; labels, lang, source and ids are no inputs of a score. Training texts of one label that share the
+smallest hash of their 5-word runs (copies) count once, so what only copies of one text share is no evidence.
 
 Defined cases: null and empty texts have no tokens and get the calibrated score of no evidence; null
 labels and labels of absent documents teach nothing; several labels of one id count as their
@@ -37,7 +37,6 @@ from . import textkernel as K
 from .cluster import text_batches, tidy, written
 
 TRAIN_ROWS = 20_000
-FEATURES = 200_000
 LEAST_TOXIC = 4
 PRIOR, Z, DRIFT = 2.0, 4.2, 1.0
 MAX_E = 0.01
@@ -201,15 +200,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     ids = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__y"))
     ids = ids.orderBy(F.xxhash64("__id"), "__id").limit(rows)
     taught = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(ids), "__id")
-    taught = taught.mapInArrow(tidy(_keyed), "key long, id string, text string, y int").groupBy("key").agg(F.min(F.struct("id", "y", "text")).alias("r"))
-    taught = written(taught.select("r.text", "r.y"), "taught")
+    taught = taught.mapInArrow(tidy(_keyed), "key long, id string, text string, y int").groupBy("key", "y").agg(F.min(F.struct("id", "text")).alias("r"))
+    taught = written(taught.select("r.text", "y"), "taught")
 
     def count(batches):
         for b in batches:
             yield from _tables(pa.Table.from_batches([b]))
 
     seen = taught.mapInArrow(tidy(count), "f long, p long, a long, b long").groupBy("f").agg(F.min("p").alias("p"), F.sum("a").alias("a"), F.sum("b").alias("b"))
-    found = seen.where(F.col("a") >= LEAST_TOXIC).orderBy(F.desc("a"), "f").limit(FEATURES).collect()
+    found = seen.where(F.col("a") >= LEAST_TOXIC).collect()
     if not found or not any(r[0] == 0 and r[3] for r in found):
         return none
     model = _log_odds(found)
