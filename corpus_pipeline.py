@@ -30,9 +30,9 @@ def benchmark_passages_go(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mixture draws, with the columns of docs; a cut document's n_chars follows its text."""
-    mix = mixing.mix(docs).select(*docs.columns)
-    chars = F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return mix.withColumn("n_chars", chars)
+    apart = {c: f"__own_{i}" for i, c in enumerate(cluster.clashing(docs, [*mixing.RESULTS, "shard", "epoch"]))}
+    mix = mixing.mix(docs.withColumnsRenamed(apart)).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+    return mix.drop("shard", "epoch").withColumnsRenamed({a: c for c, a in apart.items()}).select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +50,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents after all stages. Scratch tables of a stage, and what it read, go when its rows are written."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = cluster.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with cluster.cleaning(spark) as spare:
+            kept: list[str] = []
+            docs = cluster.written(stage(spark, docs, sf_dir), name.replace(" ", "-"), kept)
+            spare.remove(kept[0])
+            spare += held
+            held = kept
     return docs
 
 
-#: Toxicity's model has no SQL; the tests hold every stage against a brute-force version.
+#: Toxicity's model and the mixture's hashes of whole rows have no SQL; the tests hold every stage against plain Python.
 ORACLE_SQL = None

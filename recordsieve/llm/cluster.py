@@ -41,8 +41,26 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_watched: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, label: str = "t") -> str:
-    return f"{shared_dir(spark)}/recordsieve-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/recordsieve-{label}-{uuid.uuid4().hex}"
+    for names in _watched:
+        names.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def cleaning(spark: SparkSession):
+    """Delete the scratch tables that are named inside the block when it ends; a caller takes what it keeps off the list."""
+    names: list[str] = []
+    _watched.append(names)
+    try:
+        yield names
+    finally:
+        _watched[:] = [w for w in _watched if w is not names]
+        drop(spark, names)
 
 
 def written(df: DataFrame, label: str = "t", keep: list[str] | None = None) -> DataFrame:

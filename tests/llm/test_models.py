@@ -290,20 +290,99 @@ def test_lm_learns_by_default(spark):
     assert learned > plain + 0.3
 
 
+def brute_segments(s):
+    """Scores of the maximal segments: the best one (the shortest of ties, the leftmost), then those on both its sides."""
+    found, todo = [], [(0, len(s))]
+    while todo:
+        a, b = todo.pop()
+        best, here, start, at = 0.0, 0.0, a, None
+        for i in range(a, b):
+            if here <= 0:
+                here, start = 0.0, i
+            here += s[i]
+            if here > best + 1e-9:
+                best, at = here, (start, i + 1)
+        if at:
+            found.append(best)
+            todo += [(a, at[0]), (at[1], b)]
+    return found
+
+
+def brute_toxic(model, text):
+    """The score of a text from the model's steps alone, token by token."""
+    from recordsieve.llm import textkernel as K
+
+    steps = dict(zip(model.features.tolist(), model.steps.tolist(), strict=True))
+    scores = []
+    for token in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode()):
+        w = K.Words(np.array([0]), np.array([len(token)]), np.array([0]), np.frombuffer(token.lower(), np.uint8), np.array([0, 1]))
+        hashes = [int(h[0]) for h in toxicity._chain(w)]
+        scores.append(sum(steps.get(h, 0.0) for h in hashes if h or 0 in steps) - toxicity.DRIFT)
+    found = sorted(brute_segments(scores), reverse=True)
+    n = max(len(scores), 1)
+    chance = max(0.0, math.log(n * max(model.k, 1e-9)))
+    total = sum(found[:1]) + sum(max(0.0, z - chance - 2) for z in found[1:])
+    x = model.slope * (total - math.log(n * model.k)) + model.offset
+    return 1 / (1 + math.exp(-min(40, max(-40, x))))
+
+
 def test_pipeline(spark, sf_dir):
+    """Every stage on what the one before kept, held against plain Python."""
     import corpus_pipeline as c
-    from recordsieve.llm import cluster, decontaminate, ngram_join
+    from recordsieve.llm import cluster
+    from test_exact import WORDS, brute_components, brute_contaminated
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    words = next(t for _, t in items if len(t.split()) >= 12).split()
+    planted = " ".join(f"plain{i}" for i in range(30)) + " " + " ".join(words[:10])
+    docs = docs.unionByName(spark.createDataFrame([(10**9, planted, "en", "a", len(planted))], docs.schema))
     model = toxicity.taught(spark, sf_dir)
     kept = [docs]
     for name, stage in c.STAGES:
         kept.append(cluster.written(stage(spark, kept[-1], sf_dir), name.replace(" ", "")))
         assert kept[-1].columns == docs.columns
-    clean = {r["doc_id"] for r in toxicity.score(docs, model, ["doc_id"]).where("predicted = 0").collect()}
-    assert {r["doc_id"] for r in kept[1].collect()} == clean
-    groups = {r["component_id"] for r in ngram_join.link(kept[1]).collect()}
-    assert sorted(r["doc_id"] for r in kept[2].collect()) == sorted(groups)
-    hit = decontaminate.scan(kept[2], spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["doc_id"])
-    assert sorted(r["doc_id"] for r in kept[3].collect()) == sorted(r["doc_id"] for r in hit.collect() if len(r["hits"]["items"]) < 2)
-    assert bag(kept[4]) == bag(kept[5])
+    rows = [[tuple(r) for r in k.collect()] for k in kept]
+    texts = [[(r[0], r[1]) for r in x] for x in rows]
+    scores = {d: brute_toxic(model, t) for d, t in texts[0]}
+    assert any(s >= 0.5 for s in scores.values())
+    assert sorted(d for d, _ in texts[1]) == sorted(d for d, s in scores.items() if s < 0.5)
+    import ast
+
+    groups = {ast.literal_eval(x)[2] for x in brute_components(texts[1], 5, 80)}
+    assert sorted(d for d, _ in texts[2]) == sorted(groups) and len(groups) < len(texts[1])
+    gone = brute_contaminated([t for _, t in texts[2]], items)
+    assert sorted(d for d, _ in texts[3]) == sorted(d for (d, _), g in zip(texts[2], gone, strict=True) if not g)
+    assert 10**9 in {d for d, _ in texts[2]} - {d for d, _ in texts[3]}
+    source, size, taken, cuts = {r[0]: r for r in rows[3]}, {}, {}, {}
+    for d, text, lang, src, n in rows[4]:
+        whole = source[d]
+        size[d] = len(WORDS.findall(whole[1]))
+        assert (lang, src) == (whole[2], whole[3]) and n == len(text) and whole[1].startswith(text)
+        taken[d] = taken.get(d, 0) + len(WORDS.findall(text))
+        cuts[src] = cuts.get(src, 0) + (text != whole[1])
+    assert all(t <= 2 * size[d] for d, t in taken.items()) and all(n <= 1 for n in cuts.values())
+    assert abs(sum(taken.values()) - 1.5 * sum(len(WORDS.findall(r[1] or "")) for r in rows[3])) <= len(cuts)
+    assert sorted(map(repr, rows[4])) == sorted(map(repr, rows[5]))
+
+
+def test_pipeline_odd_and_empty(spark, sf_dir, odd, none):
+    import corpus_pipeline as c
+    from recordsieve.llm import cluster
+
+    rows = odd
+    for name, stage in c.STAGES:
+        rows = cluster.written(stage(spark, rows, sf_dir), name.replace(" ", ""))
+        assert rows.columns == odd.columns and rows.where("n_words <> 'extra' or shard <> 'extra' or size <> 'extra'").count() == 0
+    assert rows.where("doc_id = 6").count() >= 1
+    for name, stage in c.STAGES:
+        if name != "near duplicates":  # test_deduplicate has that one
+            assert stage(spark, none, sf_dir).count() == 0
+
+
+def test_toxicity_by_brute_force(spark, corpus):
+    docs, labels = corpus
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in toxicity.score(docs, model, ["doc_id"]).collect():
+        assert r["score"] == pytest.approx(brute_toxic(model, texts[r["doc_id"]]), abs=1e-6)
