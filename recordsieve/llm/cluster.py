@@ -11,9 +11,12 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of narrow keys that a broadcast side may have at most (a few MB of longs).
 BROADCAST_ROWS = 500_000
+#: Bytes of its strings, binaries and arrays.
+BROADCAST_BYTES = 64 << 20
 #: Rows of an Arrow batch that holds texts.
 TEXT_ROWS = 1500
 
@@ -123,9 +126,16 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast only if a count shows at most ``rows`` rows; else left to a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast only if a count shows at most ``rows`` rows and ``size`` bytes in columns of any length; else left to a shuffled join."""
+    length = F.lit(0)
+    for f in df.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            length = length + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            length = length + F.octet_length(F.to_json(F.struct(f"`{f.name}`")))
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
 
 
 def clashing(df: DataFrame, names: list[str]) -> list[str]:
