@@ -3,8 +3,10 @@
 A store is a folder in the shared file system:
 
 * ``data/<id>/part-*.parquet``: immutable shard files; one append writes one small shard a task.
-* ``manifest/v<20 digits>.json``: the complete list of live shards (path, bytes, rows, tier) of a
-  version. A version is committed by renaming a finished temporary file to its name, which fails
+* ``manifest/lists/<id>.json``: immutable lists of up to ``LIST`` shards each (path, bytes, rows).
+* ``manifest/v<20 digits>.json``: a version: the lists that together name its live shards. A commit writes lists
+  for new shards, and for what is left of lists that lost some, and names all others again; so an append
+  costs as much as it brings. A version is committed by renaming a finished temporary file to its name, which fails
   if the name exists: two writers cannot commit the same version, readers see whole versions only.
   That holds on HDFS and on local file systems; an object store whose rename replaces needs one writer.
 
@@ -37,6 +39,8 @@ FANOUT = 4
 MIN_RUN = 2
 #: Seconds that a file no manifest names is kept: longer than any write takes until its commit.
 GRACE = 7 * 86400
+#: Shards in a list.
+LIST = 10_000
 
 
 class CommitConflict(RuntimeError):
@@ -67,33 +71,44 @@ class ShardStore:
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
-    def manifest(self, version: int | None = None) -> dict:
-        """The given or newest manifest: version, schema, shards."""
-        versions = self._versions()
-        if not versions:
-            return {"version": 0, "schema": None, "shards": []}
-        at = self._path(f"{self.root}/manifest/v{version or versions[-1]:020d}.json")
-        stream = self._fs.open(at)
+    def _text(self, path: str) -> str:
+        stream = self._fs.open(self._path(path))
         try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        found = json.loads(text)
-        return found | {"shards": [Shard(**s) for s in found["shards"]]}
 
-    def _commit(self, base: dict, schema: str, shards: list[Shard]) -> dict:
-        version = base["version"] + 1
-        found = {"version": version, "schema": schema, "shards": [asdict(s) for s in shards]}
-        temp = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}.tmp")
-        final = self._path(f"{self.root}/manifest/v{version:020d}.json")
-        out = self._fs.create(temp, False)
+    def _put(self, path: str, value) -> None:
+        out = self._fs.create(self._path(path), False)
         try:
-            out.write(bytearray(json.dumps(found).encode()))
+            out.write(bytearray(json.dumps(value).encode()))
         finally:
             out.close()
+
+    def manifest(self, version: int | None = None) -> dict:
+        """The given or newest manifest: version, schema, lists (path to shards) and shards."""
+        versions = self._versions()
+        if not versions:
+            return {"version": 0, "schema": None, "lists": {}, "shards": []}
+        found = json.loads(self._text(f"{self.root}/manifest/v{version or versions[-1]:020d}.json"))
+        lists = {name: [Shard(**s) for s in json.loads(self._text(f"{self.root}/manifest/lists/{name}"))] for name in found["lists"]}
+        return found | {"lists": lists, "shards": [s for shards in lists.values() for s in shards]}
+
+    def _commit(self, base: dict, schema: str, shards: list[Shard]) -> dict:
+        version = base["version"] + 1
+        live = set(shards)
+        lists = [name for name, held in base["lists"].items() if held and live.issuperset(held)]
+        live.difference_update(s for name in lists for s in base["lists"][name])
+        more = [s for s in shards if s in live]
+        for a in range(0, len(more), LIST):
+            lists.append(f"{uuid.uuid4().hex}.json")
+            self._put(f"{self.root}/manifest/lists/{lists[-1]}", [asdict(s) for s in more[a : a + LIST]])
+        temp = f"{self.root}/manifest/.{uuid.uuid4().hex}.tmp"
+        self._put(temp, {"version": version, "schema": schema, "lists": lists})
+        final = self._path(f"{self.root}/manifest/v{version:020d}.json")
         # a newer version may stand where a vacuum has removed this one
-        if any(v >= version for v in self._versions()) or not self._fs.rename(temp, final):
-            self._fs.delete(temp, False)
+        if any(v >= version for v in self._versions()) or not self._fs.rename(self._path(temp), final):
+            self._fs.delete(self._path(temp), False)
             raise CommitConflict(f"version {version} exists")
         return self.manifest(version)
 
@@ -164,12 +179,19 @@ class ShardStore:
         have not been changed for ``grace`` seconds.
         """
         versions = self._versions()
-        named = {s.path for v in versions[-keep:] for s in self.manifest(v)["shards"]}
-        gone = {s.path for v in versions[:-keep] for s in self.manifest(v)["shards"]} - named
-        for v in versions[:-keep]:
-            self._fs.delete(self._path(f"{self.root}/manifest/v{v:020d}.json"), False)
-        folder, before = self._path(f"{self.root}/data"), (time.time() - grace) * 1000
-        for d in self._fs.listStatus(folder) if self._fs.exists(folder) else ():
+        old, kept = ([self.manifest(v) for v in part] for part in (versions[:-keep], versions[-keep:]))
+        named = {s.path for m in kept for s in m["shards"]}
+        gone = {s.path for m in old for s in m["shards"]} - named
+        listed = {name for m in kept for name in m["lists"]}
+        unlisted = {name for m in old for name in m["lists"]} - listed
+        for m in old:
+            self._fs.delete(self._path(f"{self.root}/manifest/v{m['version']:020d}.json"), False)
+        before = (time.time() - grace) * 1000
+        for f in self._files("manifest/lists"):
+            name = f.getPath().getName()
+            if name in unlisted or name not in listed and f.getModificationTime() < before:
+                self._fs.delete(f.getPath(), False)
+        for d in self._files("data"):
             files = [f for f in self._fs.listStatus(d.getPath()) if f.getPath().getName() != "_SUCCESS"]
             left = [f for f in files if f.getPath().toString() in named or f.getPath().toString() not in gone and f.getModificationTime() >= before]
             if not left and (files or d.getModificationTime() < before):
@@ -179,6 +201,10 @@ class ShardStore:
                 if f not in left:
                     self._fs.delete(f.getPath(), True)
 
+    def _files(self, folder: str) -> list:
+        at = self._path(f"{self.root}/{folder}")
+        return list(self._fs.listStatus(at)) if self._fs.exists(at) else []
+
     def read(self, version: int | None = None) -> DataFrame:
         found = self.manifest(version)
         if not found["schema"]:

@@ -381,6 +381,7 @@ def test_store(spark, odd, none, tmp_path):
     store.append(odd.repartition(9))
     store.append(odd.repartition(9))
     before = store.manifest()
+    assert len(before["lists"]) == 2  # an append writes the list of its own shards
     store.compact()
     after = store.manifest()
     assert after["version"] == before["version"] + 1 and len(after["shards"]) < len(before["shards"])
@@ -392,9 +393,10 @@ def test_store(spark, odd, none, tmp_path):
     base, more = store.manifest(), store._write(odd)
     store.vacuum()
     store._commit(base, base["schema"], [*base["shards"], *more])
-    assert store.read().count() == 3 * odd.count()
+    assert store.read().count() == 3 * odd.count() and set(base["lists"]) < set(store.manifest()["lists"])
     lost = store._write(odd)
     store.vacuum(grace=-60)
+    assert {f.getPath().getName() for f in store._files("manifest/lists")} == set(store.manifest()["lists"])
     with pytest.raises(Exception, match="does not exist|PATH_NOT_FOUND"):
         spark.read.parquet(lost[0].path).count()
     assert store.read().count() == 3 * odd.count()
