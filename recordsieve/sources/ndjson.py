@@ -19,8 +19,8 @@ from ..lang.errors import RecordError, SieveError
 from ..records import reader
 
 SCHEMA = "record_index long, value string"
-#: An input of at most so many bytes, by the optimizer's estimate, is dealt out to all cores.
-SPREAD_BYTES = 1 << 30
+#: An input of at most so many bytes, by the optimizer's estimate, is dealt out to all cores, in parts of at least PART_BYTES.
+SPREAD_BYTES, PART_BYTES = 1 << 30, 1 << 16
 #: A JSON string, without backtracking; no raw line feed can be in one.
 _STRINGS = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 
@@ -33,7 +33,7 @@ def spread(df: DataFrame) -> DataFrame:
     if df.isStreaming:
         return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+    return df.repartition(min(df.sparkSession.sparkContext.defaultParallelism, 1 + size // PART_BYTES)) if size <= SPREAD_BYTES else df
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
