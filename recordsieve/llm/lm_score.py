@@ -275,8 +275,12 @@ def _log_softmax_at(z: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarra
 
 def _chunks(column: pa.Array):
     """(first row, tokens, offsets of the texts) of runs of whole encoded texts."""
-    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.empty(0, np.uint8)
+    if not len(column):
+        return
+    column = column.cast(pa.large_binary())
+    _, offsets, values = column.buffers()
+    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(values, np.uint8) if values is not None else np.empty(0, np.uint8)
     flat = data[off[0] : off[-1]].copy().view(np.uint16)
     off = (off - off[0]) // 2
     a = 0
