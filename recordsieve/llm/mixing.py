@@ -93,7 +93,6 @@ def _tree(quotas: DataFrame, shards: int) -> DataFrame:
         c = t.groupBy("lo", "hi", "bucket").agg(F.count(F.lit(1)).alias("c"))
         c = c.withColumn("left", F.floor(F.sum("c").over(node) * (mid - F.col("lo")) / (F.col("hi") - F.col("lo"))))
         c = c.withColumn("before", F.sum("c").over(node.orderBy("bucket")) - F.col("c"))
-        c = written(c, "mix-buckets")
         t = t.join(small(c), ["lo", "hi", "bucket"])
         leaf = F.col("hi") - F.col("lo") <= 1
         crossed = ~leaf & (F.col("before") < F.col("left")) & (F.col("left") < F.col("before") + F.col("c"))
@@ -103,6 +102,7 @@ def _tree(quotas: DataFrame, shards: int) -> DataFrame:
         goes_left = leaf | (F.col("rank") <= F.col("left"))
         # the ticket only counts; which blocks a shard draws is settled by the quotas' order
         t = t.select("sid", "ticket", F.when(goes_left, F.col("lo")).otherwise(F.col("mid")).alias("lo"), F.when(leaf | ~goes_left, F.col("hi")).otherwise(F.col("mid")).alias("hi"))
+        t = written(t, "mix-tickets")  # a level reads the one before, not the whole chain
     return t.groupBy("sid", F.col("lo").alias("shard")).agg(F.count(F.lit(1)).alias("quota"))
 
 
