@@ -66,14 +66,27 @@ def cleaning(spark: SparkSession):
         drop(spark, names)
 
 
+@contextlib.contextmanager
+def shuffles_go(spark: SparkSession):
+    """Shuffle files of an action inside the block go when it ends, not when the driver next collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, label: str = "t", keep: list[str] | None = None) -> DataFrame:
-    """The frame, written to the shared folder and read again: its lineage ends there.
+    """The frame, written to the shared folder and read again: its lineage ends there, and its shuffle files go.
 
     ``keep`` collects the path for a later :func:`drop`.
     """
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    with shuffles_go(spark):
+        df.write.parquet(path)
     if keep is not None:
         keep.append(path)
     return spark.read.schema(df.schema).parquet(path)

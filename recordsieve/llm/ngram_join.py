@@ -13,8 +13,9 @@ partners, groups or lengths.
 3. Nodes that meet at an element are first held against the element's least and greatest node (stars, linear
    in the members). Verified links are merged by connected components.
 4. Members of an element that are still in different components meet in tiles: a size band and the
-   next one, in blocks of at most ``BLOCK``. There, bitmap signatures about as wide as the sets are xor-ed;
-   the bit count bounds the overlap from above. A task answers with a forest of the admitted pairs.
+   next one, in blocks of at most ``BLOCK``; a pair is judged in the tile of its smaller set's band. There, bitmap
+   signatures about as wide as the sets are xor-ed; the bit count bounds the overlap from above. A task answers
+   with a forest of the admitted pairs.
 5. Each tree of that forest is a cluster that holds both ends of every admitted pair. Blocks of a
    cluster, by size band, form tiles whose nodes send their sorted arrays once, for the exact intersections
    of the admitted pairs. A tile answers with the links that connect its nodes, not with all pairs.
@@ -50,7 +51,8 @@ BLOCK = 512
 SET_BLOCK = 256
 #: Admitted pairs that a task holds before it joins them to its forest; rows of sets in an Arrow batch.
 WAITING, SET_ROWS = 1 << 17, 256
-MAX_BITS = 4096
+#: Bits of a signature at most. Unrelated sets of more than 1.5 times as many elements can't be told apart by it.
+MAX_BITS = 1 << 15
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -311,6 +313,7 @@ def _admitted_forest(rows: DataFrame, percent: int, ratio: float) -> DataFrame:
     """
     names = ["token", "tile", "i", "j"]
 
+    # both sets of a pair in the tile's upper band: the next tile judges them, by signatures that are wide enough
     def groups(batches):
         held = None
         for b in batches:
@@ -343,19 +346,20 @@ def _admitted_forest(rows: DataFrame, percent: int, ratio: float) -> DataFrame:
             keys = np.stack([t.column(c).to_numpy() for c in names])
             group = np.concatenate(([0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(0))))
             tile, node, label, n, blk = (t.column(c).to_numpy() for c in ("tile", "node", "label", "n", "blk"))
+            low = t.column("low").to_numpy()
             full = t.column("sig").to_pylist()
             bands, of = np.unique(tile, return_inverse=True)
             width = np.array([_bits(0.99 * ratio ** -float(x)) for x in bands])[of]  # not wider than the smallest set's
             for bits in np.unique(width):
                 at = np.flatnonzero(width == bits)
                 sig = _fold([full[i] for i in at], int(bits))
-                g, v, lab, size, bl = group[at], node[at], label[at], n[at], blk[at]
+                g, v, lab, size, bl, lo = group[at], node[at], label[at], n[at], blk[at], low[at]
                 two = keys[2][at] != keys[3][at]
                 d = 1
                 left = np.flatnonzero(g[:-1] == g[1:]) if len(g) > 1 else np.empty(0, np.int64)
                 while len(left):
                     p, q = left, left + d
-                    ok = (lab[p] != lab[q]) & (v[p] != v[q]) & (~two[p] | (bl[p] != bl[q]))
+                    ok = (lab[p] != lab[q]) & (lo[p] | lo[q]) & (v[p] != v[q]) & (~two[p] | (bl[p] != bl[q]))
                     ok &= 100 * np.minimum(size[p], size[q]) >= percent * np.maximum(size[p], size[q])
                     p, q = p[ok], q[ok]
                     if len(p):
@@ -376,7 +380,7 @@ def _admitted_forest(rows: DataFrame, percent: int, ratio: float) -> DataFrame:
         if up:
             yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array(list(up.values()), pa.int64())], names=["a", "b"])
 
-    cols = [*names, "blk", "node", "label", "n", "sig"]
+    cols = [*names, "blk", "node", "label", "n", "low", "sig"]
     return rows.select(*cols).repartition(*names).sortWithinPartitions(*names).mapInArrow(tidy(run), "a long, b long")
 
 
@@ -509,14 +513,18 @@ def _linked(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, keyed
         rows = written(_prefixes(docs, k, percent, spark.sparkContext.broadcast(late)), "sets")
         drop(spark, own)
     # elements met by two nodes or more, and who meets there
-    members = written(_members(rows, nodes, spare), "members", spare)
+    gone: list[str] = []  # tables that the next step does not need
+    members = written(_members(rows, nodes, gone), "members", gone)
     hubs = members.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
-    met = written(members.join(hubs, "token").groupBy("token", "node").agg(F.min("hub").alias("hub"), F.min("last").alias("last")), "met", spare)
+    met_at: list[str] = []
+    met = written(members.join(hubs, "token").groupBy("token", "node").agg(F.min("hub").alias("hub"), F.min("last").alias("last")), "met", met_at)
+    drop(spark, gone)
     stars = met.select(F.col("node").alias("b"), F.explode(F.array("hub", "last")).alias("a")).where("a <> b")
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    stars = written(_possible(stars, nodes, percent), "stars", spare)
+    stars = written(_possible(stars, nodes, percent), "stars", gone)
     with arrow_rows(spark, SET_ROWS):
-        links = written(_verified(stars, docs, nodes, k, percent, spare), "links", spare)
+        links = written(_verified(stars, docs, nodes, k, percent, gone), "links", spare)
+    drop(spark, gone)
     labels = written(components(links, "a", "b"), "labels", spare)
 
     # members of an element that are not joined yet meet in tiles
@@ -524,13 +532,15 @@ def _linked(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, keyed
     open_ = now.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     ratio = percent / 100
     band = F.floor(F.log("n") / F.lit(-math.log(ratio))).cast("long")
-    left = now.join(open_, "token").join(nodes.select("node", "n"), "node").select("token", "node", "label", "n", F.explode(F.array(band, band - 1)).alias("tile"))
-    left = written(left, "open", spare)
-    count = left.groupBy("token", "tile").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    left = now.join(open_, "token").join(nodes.select("node", "n"), "node").select("token", "node", "label", "n", F.explode(F.array(F.struct(band.alias("tile"), F.lit(True).alias("low")), F.struct((band - 1).alias("tile"), F.lit(False).alias("low")))).alias("at"))
+    left = written(left.select("token", "node", "label", "n", "at.*"), "open", gone)
+    drop(spark, met_at)
+    count = left.groupBy("token", "tile").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("x"), F.max("label").alias("y"), F.max("low").alias("low")).where("x <> y and low")
     left = left.join(count.select("token", "tile", F.ceil(F.col("c") / BLOCK).cast("long").alias("blocks")), ["token", "tile"])
     left = left.withColumn("blk", F.pmod(F.xxhash64("node"), "blocks")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    left = left.withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")}).join(nodes.select("node", "sig"), "node")
-    clusters = written(components(_admitted_forest(left, percent, ratio), "a", "b"), "clusters", spare)
+    left = written(left.withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")}).drop("blocks", "o"), "tiled", gone)
+    clusters = written(components(_admitted_forest(left.join(nodes.select("node", "sig"), "node"), percent, ratio), "a", "b"), "clusters", spare)
+    drop(spark, gone)
     about = nodes.select("node", "n", "sig").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sets = _sets(docs, nodes.join(clusters.select("node"), "node", "left_semi").select("node", "doc_id", "d1", "d2"), k, spare)
     full = _tiles(clusters, nodes, percent).join(about, "node").join(sets, "node").select("tile", "side", "node", "label", "n", "sig", "elements")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -127,6 +128,50 @@ def test_ngram_join(spark, odd, k, percent, block, monkeypatch):
     assert sorted(repr(tuple(r)) for r in ngram_join.link(odd, k=k, percent=percent).collect()) == brute_components(rows, k, percent)
 
 
+def test_signatures_of_long_texts():
+    """Unrelated texts of very many words are told apart by their bits; near copies of them are not lost."""
+    from recordsieve.llm.textkernel import mix
+
+    for n in (2000, 12_000, 30_000):
+        a, b = (np.unique(mix(np.arange(n, dtype=np.uint64) + np.uint64(s))) for s in (1, 1_000_000))
+        apart = lambda p, q: int(np.bitwise_count(np.frombuffer(ngram_join._signature(p), np.uint64) ^ np.frombuffer(ngram_join._signature(q), np.uint64)).sum())
+        assert not ngram_join._admitted(n, n, apart(a, b), 80)
+        near = np.concatenate([a[: n * 9 // 10], b[n * 9 // 10 :]])
+        assert ngram_join._admitted(n, n, apart(a, near), 80)
+
+
+def test_pairs_are_judged_in_the_band_of_the_smaller_set(spark):
+    """Sets of one size band, in its own tile and as the upper band of the tile before, whose signatures are too narrow for them."""
+    from recordsieve.llm.textkernel import mix
+
+    n, band = 1560, 32  # 0.8 ** -32 is 1262, 0.8 ** -31 is 1010
+    rows = []
+    for node in range(20):
+        sig = ngram_join._signature(mix(np.arange(n, dtype=np.uint64) + np.uint64(node * 10_000)))
+        rows += [(1, tile, 0, 0, 0, node, node, n, tile == band, bytearray(sig)) for tile in (band - 1, band)]
+    rows += [(1, band, 0, 0, 0, 20, 20, n, True, rows[-1][-1])]  # a copy of the last
+    docs = spark.createDataFrame(rows, "token long, tile long, i long, j long, blk long, node long, label long, n long, low boolean, sig binary")
+    assert [tuple(r) for r in ngram_join._admitted_forest(docs, 80, 0.8).collect()] == [(20, 19)]
+
+
+def test_written_lets_shuffle_files_go(spark):
+    from recordsieve.llm.cluster import drop, written
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, own = spark.conf.get(key, None), []
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles
+    held = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", folder().toString()))
+    files = held()
+    out = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "t", own)
+    for _ in range(20):
+        if held() <= files:
+            break
+        time.sleep(0.1)
+    assert held() <= files and out.count() == 7
+    assert spark.conf.get(key, None) == before
+    drop(spark, own)
+
+
 def test_deduplicate(spark, odd, none):
     got = ngram_join.deduplicate(odd)
     assert got.columns == odd.columns
