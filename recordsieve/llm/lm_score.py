@@ -177,16 +177,25 @@ class Network:
             a += p.size
         return self
 
-    def _hidden(self, placed: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """tanh layer of examples; ``placed`` holds every token's part of it in every place, ``key`` the rows to add up."""
-        h = placed[key[:, 0]]
-        h += self.b
-        for k in range(1, 2 * SIDE):
-            h += placed[key[:, k]]
-        return np.tanh(h, out=h)
+    # Examples are columns in what follows: sums and maxima over classes then run along many examples at a time.
 
     def _keys(self, around: np.ndarray) -> np.ndarray:
-        return around.astype(np.int32) + (np.arange(2 * SIDE, dtype=np.int32) * len(self.e))
+        """(2 * SIDE, n): the rows of :meth:`_placed` that meet in each example."""
+        return around.T.astype(np.int64) + len(self.e) * np.arange(2 * SIDE)[:, None]
+
+    def _placed(self) -> np.ndarray:
+        """Every token's part of the hidden layer in every place."""
+        return np.matmul(self.e, self.w).reshape(-1, WIDTH)
+
+    def _hidden(self, placed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The tanh layer of examples, and a last row of ones for the biases."""
+        h = placed.take(keys[0], 0)
+        h += self.b
+        for k in keys[1:]:
+            h += placed.take(k, 0)
+        out = np.ones((WIDTH + 1, len(h)), h.dtype)
+        np.tanh(h.T, out=out[:-1])
+        return out
 
     def _by_class(self, token: np.ndarray):
         """The order of examples by class, their classes, and (class, from, to) of each run."""
@@ -196,55 +205,58 @@ class Network:
         first = np.flatnonzero(np.diff(cls, prepend=-1))
         return order, cls, list(zip(cls[first].tolist(), first.tolist(), [*first[1:].tolist(), len(cls)], strict=True))
 
-    def _inner(self, h: np.ndarray, runs) -> np.ndarray:
+    def _outer(self) -> tuple[np.ndarray, np.ndarray]:
+        """The output weights of classes and of tokens inside them, with their biases."""
+        return np.concatenate((self.k, self.d[:, None]), 1), np.concatenate((self.o, self.c[..., None]), 2)
+
+    def _inner(self, inside: np.ndarray, h: np.ndarray, runs) -> np.ndarray:
         """Logits of the tokens in each example's class; examples lie by class."""
-        z = np.empty((len(h), self.m), h.dtype)
+        z = np.empty((self.m, h.shape[1]), h.dtype)
         for c, a, b in runs:
-            np.matmul(h[a:b], self.o[c].T, out=z[a:b])
-            z[a:b] += self.c[c]
+            np.matmul(inside[c], h[:, a:b], out=z[:, a:b])
         return z
 
     def log_probability(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Of each token, given the (n, 2 * SIDE) tokens around it."""
-        placed = np.matmul(self.e, self.w).reshape(-1, WIDTH)
+        placed = self._placed()
+        classes, inside = self._outer()
         out = np.empty(len(token), np.float32)
         for a in range(0, len(token), 1 << 12):
             t = token[a : a + (1 << 12)]
             order, cls, runs = self._by_class(t)
             h = self._hidden(placed, self._keys(around[a : a + (1 << 12)][order]))
             row = np.arange(len(t))
-            out[a + order] = _log_softmax_at(h @ self.k.T + self.d, row, cls) + _log_softmax_at(self._inner(h, runs), row, t[order] % self.m)
+            out[a + order] = _log_softmax_at(classes @ h, cls, row) + _log_softmax_at(self._inner(inside, h, runs), t[order] % self.m, row)
         return out
 
     def gradients(self, around: np.ndarray, token: np.ndarray) -> list[np.ndarray]:
         """Of the mean negative log-probability, in the order of parts()."""
         n, row = len(token), np.arange(len(token))
         order, cls, runs = self._by_class(token)
-        token, key = token[order], self._keys(around[order])
-        h = self._hidden(np.matmul(self.e, self.w).reshape(-1, WIDTH), key)
-        z = _softmax(h @ self.k.T + self.d)
-        z[row, cls] -= 1
+        token, keys = token[order], self._keys(around[order])
+        classes, inside = self._outer()
+        h = self._hidden(self._placed(), keys)
+        z = _softmax(classes @ h)
+        z[cls, row] -= 1
         z /= n
-        dk, dd, dh = z.T @ h, z.sum(0), z @ self.k
-        z = _softmax(self._inner(h, runs))
-        z[row, token % self.m] -= 1
+        dk, dh = z @ h.T, self.k.T @ z
+        z = _softmax(self._inner(inside, h, runs))
+        z[token % self.m, row] -= 1
         z /= n
-        do, dc = np.zeros_like(self.o), np.zeros_like(self.c)
+        do = np.zeros_like(inside)
         for c, a, b in runs:
-            np.matmul(z[a:b].T, h[a:b], out=do[c])
-            dh[a:b] += z[a:b] @ self.o[c]
-            dc[c] = z[a:b].sum(0)
-        da = dh * (1 - h * h)
+            np.matmul(z[:, a:b], h[:, a:b].T, out=do[c])
+            dh[:, a:b] += self.o[c].T @ z[:, a:b]
+        h = h[:-1]
+        dh *= 1 - h * h
         # the parts of one token in one place are added up before they go back through the layer
-        key = key.ravel()
-        by_key = np.argsort(key.astype(np.uint16) if len(self.e) * 2 * SIDE < 1 << 16 else key, kind="stable")
-        key = key[by_key]
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        placed = np.zeros((2 * SIDE * len(self.e), WIDTH), h.dtype)
-        placed[key[first]] = np.add.reduceat(da[by_key // (2 * SIDE)], first, axis=0)
-        placed = placed.reshape(2 * SIDE, -1, WIDTH)
-        de = np.matmul(placed, self.w.transpose(0, 2, 1)).sum(0)
-        return [de, np.matmul(self.e.T, placed), da.sum(0), dk, dd, do, dc]
+        keys, part = keys.ravel(), np.empty((2 * SIDE, n))
+        placed = np.empty((2 * SIDE, WIDTH, len(self.e)), dh.dtype)
+        for j in range(WIDTH):
+            part[:] = dh[j]
+            placed[:, j] = np.bincount(keys, part.ravel(), 2 * SIDE * len(self.e)).reshape(2 * SIDE, -1)
+        de = np.matmul(self.w, placed).sum(0).T
+        return [de, np.matmul(placed, self.e).transpose(0, 2, 1), dh.sum(1), dk[:, :-1], dk[:, -1], do[..., :-1], do[..., -1]]
 
     def learn(self, around: np.ndarray, token: np.ndarray, squares: list[np.ndarray]) -> None:
         """One Adagrad step."""
@@ -259,18 +271,19 @@ class Network:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+    """Of every column."""
+    z -= z.max(0)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z /= z.sum(0)
     return z
 
 
-def _log_softmax_at(z: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log-probability at one place of each row."""
-    z -= z.max(1, keepdims=True)
-    got = z[row, at]
+def _log_softmax_at(z: np.ndarray, at: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The log-probability at one place of each column."""
+    z -= z.max(0)
+    got = z[at, column]
     np.exp(z, out=z)
-    return got - np.log(z.sum(1))
+    return got - np.log(z.sum(0))
 
 
 def _chunks(column: pa.Array):
